@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, simhash
+from . import bpe, chat, embedding_dedup, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
+        "op7_chat_format": chat.op7_chat_format,
+        "op8_bpe": bpe.op8_bpe,
         "op10_simhash_dedup": simhash.op10_simhash_dedup,
     }
 

@@ -15,12 +15,13 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
-from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +29,14 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 #: Words remembered between batches; beyond it the memory is emptied, which costs time only.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 NONE = np.iinfo(np.int64).max
 #: The pattern and white space of the pre-tokenizer (fixed values of the file's format).
-PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0  -     　\p{L}\p{N}]+")
+SPACE = r"\t-\r \x85\xa0  -     　"
+PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+")
+#: The same for texts of Latin-1 only: their letters and numbers are few enough to list.
+LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^" + "\t-\r \x85\xa0" + "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+BEYOND = re.compile("[^\x00-\xff]")
 
 
 def byte_letters() -> list[str]:
@@ -76,8 +81,28 @@ class WordBpe:
                 if body and (own := self._merged(self._symbols(body, s != body))) == [t]:
                     (self.final if s != body else self.inner)[body] = own[0]
         self.longest = max(map(len, [*self.inner, *self.final]), default=1)
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.known: dict[str, list[int]] = {}
+        #: Longest token that starts with the same two letters.
+        self.reach: dict[str, int] = {}
+        for body in [*self.inner, *self.final]:
+            self.reach[body[:2]] = max(self.reach.get(body[:2], 1), len(body))
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.forget()
+
+    def forget(self) -> None:
+        """Start the word memory anew: the number of each word, and its ids as a span of a pool."""
+        self.known: dict[str, int] = {}
+        self.pool = np.empty(0, dtype=np.int32)
+        self.start = np.empty(0, dtype=np.int64)
+        self.length = np.empty(0, dtype=np.int64)
+        self._remember(list(self.added), [[i] for i in self.added.values()])
+
+    def _remember(self, words: list[str], ids: list[list[int]]) -> None:
+        for w in words:
+            self.known[w] = len(self.known)
+        length = np.array([len(x) for x in ids], dtype=np.int64)
+        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(length.sum()))])
 
     def _symbols(self, body: str, closed: bool = True) -> list[int]:
         ids = [self.vocab[c] for c in (body[:-1] if closed else body)]
@@ -106,12 +131,13 @@ class WordBpe:
 
     def _proposed(self, word: str) -> list[int] | None:
         """Greedy longest match over the reachable tokens."""
-        out, i, n, inner, final = [], 0, len(word), self.inner, self.final
+        out, i, n, inner, final, reach = [], 0, len(word), self.inner, self.final, self.reach
         while i < n:
-            if n - i <= self.longest and (t := final.get(word[i:])) is not None:
+            most = reach.get(word[i : i + 2], 1)
+            if n - i <= most and (t := final.get(word[i:])) is not None:
                 out.append(t)
                 return out
-            for j in range(min(n - 1, i + self.longest), i, -1):
+            for j in range(min(n - 1, i + most), i, -1):
                 if (t := inner.get(word[i:j])) is not None:
                     out.append(t)
                     i = j
@@ -152,58 +178,66 @@ class WordBpe:
     def learn(self, words: set[str]) -> int:
         """Encode unknown words; returns how many needed exact merging."""
         if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
+            self.forget()
         fresh = [w for w in words if w not in self.known]
-        mapped = ["".join([self.letters[x] for x in w.encode("utf-8", "surrogatepass")]) for w in fresh]
-        tried = [self._proposed(m) for m in mapped]
-        flat = np.fromiter(chain.from_iterable(t or () for t in tried), dtype=np.int64)
-        lengths = np.array([len(t or ()) for t in tried], dtype=np.int64)
-        ok = np.array([t is not None for t in tried], dtype=bool)
+        letters = self.letters
+        mapped = ["".join([letters[x] for x in w.encode("utf-8", "surrogatepass")]) for w in fresh]
+        ids = [self._proposed(m) for m in mapped]
+        lengths = np.array([len(t or ()) for t in ids], dtype=np.int64)
+        flat = np.fromiter(chain.from_iterable(t or () for t in ids), dtype=np.int64, count=int(lengths.sum()))
+        failing = np.array([t is None for t in ids], dtype=bool)
         if len(flat) > 1:
             owner = np.repeat(np.arange(len(fresh)), lengths)
             inside = owner[1:] == owner[:-1]
             unique, where = np.unique((flat[:-1] << 32 | flat[1:])[inside], return_inverse=True)
             kept = self.compatible(unique >> 32, unique & 0xFFFFFFFF)[where]
-            ok[owner[1:][inside][~kept]] = False
-        failed = 0
-        for w, m, t, good in zip(fresh, mapped, tried, ok, strict=True):
-            failed += not good
-            self.known[w] = t if good else self._merged(self._symbols(m))
-        return failed
-
-    def words(self, text: str) -> list[str | int]:
-        """Pre-tokens of a text; added tokens in it appear as their ids."""
-        pieces = self.cut.split(text) if self.cut and "<" in text else [text]
-        out: list[str | int] = []
-        for piece in pieces:
-            if piece in self.added:
-                out.append(self.added[piece])
-            elif piece:
-                if not piece.isascii():
-                    piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")  # no final sigma rule
-                out += PRETOKEN.findall(piece.lower())
-        return out
+            failing[owner[1:][inside][~kept]] = True
+        for k in np.flatnonzero(failing):
+            ids[k] = self._merged(self._symbols(mapped[k]))
+        self._remember(fresh, ids)
+        return int(failing.sum())
+
+    def words(self, text: str) -> list[str]:
+        """Pre-tokens of a text; an added token in it stays whole."""
+        if not (self.cut and "<" in text and self.cut.search(text)):
+            return self._cut(text)
+        return list(chain.from_iterable([p] if p in self.added else self._cut(p) for p in self.cut.split(text)))
+
+    def _cut(self, text: str) -> list[str]:
+        if text.isascii():
+            return LATIN.findall(text.lower())
+        text = unicodedata.normalize("NFC", text)
+        if not BEYOND.search(text):
+            return LATIN.findall(text.lower())
+        return PRETOKEN.findall(text.replace("\u03a3", "\u03c3").lower())  # lower() would make some sigmas final
+
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and how many each text has."""
+        cut = [self.words(t) if t else [] for t in texts]
+        self.learn(set(chain.from_iterable(cut)))
+        counts = np.array([len(ws) for ws in cut], dtype=np.int64)
+        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=int(counts.sum()))
+        length = self.length[number]
+        upto = np.concatenate([[0], np.cumsum(length)])
+        at = np.arange(upto[-1]) + np.repeat(self.start[number] - upto[:-1], length)
+        ends = upto[np.cumsum(counts)]
+        return self.pool[at], np.diff(ends, prepend=0)
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        cut = [self.words(t) if t else [] for t in texts]
-        self.learn({w for ws in cut for w in ws if isinstance(w, str)})
-        known = self.known
-        for i in self.added.values():
-            known[i] = [i]  # type: ignore[index]
-        return [list(chain.from_iterable(map(known.__getitem__, ws))) for ws in cut]
+        flat, n = self.encode_flat(texts)
+        return [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.token[i] for i in ids if i in self.token])
 
 
-_loaded: dict[int, WordBpe] = {}
+_loaded: dict = {}
 
 
 def _model(raw) -> WordBpe:
     """The tables, built once per worker process."""
-    key = hash(raw.value)
+    key = ("model", hash(raw.value))
     if key not in _loaded:
-        _loaded.clear()
         _loaded[key] = WordBpe(raw.value)
     return _loaded[key]
 
@@ -218,7 +252,7 @@ def _source(spark: SparkSession, path: str | None):
 
 
 #: Texts encoded at a time: the words of this many characters are in memory together.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 def bpe_encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -228,35 +262,59 @@ def bpe_encode(docs: DataFrame, path: str | None = None, text: str = "text", ids
     and extra columns pass through unchanged.
     """
     raw = _source(docs.sparkSession, path)
-    docs = docs.drop(ids)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("array<int>")
+    def run(texts: pa.Array) -> pa.Array:
         model = _model(raw)
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            encoded: list[np.ndarray] = []
-            start, held = 0, 0
-            for k, t in enumerate(texts):
-                held += len(t or "")
-                if held >= SLICE_CHARS or k == len(texts) - 1:
-                    encoded += [np.array(x, dtype=np.int32) for x in model.encode(texts[start : k + 1])]
-                    start, held = k + 1, 0
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in encoded])]).astype(np.int32)
-            column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *encoded]), pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, ids])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, `{ids}` array<int>")
+        flats, counts, start, held = [np.empty(0, np.int32)], [np.zeros(1, np.int64)], 0, 0
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        for k, size in enumerate(sizes):
+            held += int(size)
+            if held >= SLICE_CHARS or k == len(sizes) - 1:
+                flat, n = model.encode_flat(texts.slice(start, k + 1 - start).to_pylist())
+                flats.append(flat)
+                counts.append(n)
+                start, held = k + 1, 0
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)), pa.int32()), pa.array(np.concatenate(flats), pa.int32()))
+
+    return docs.withColumn(ids, run(F.col(text)))
+
+
+def _tokens(raw) -> pa.Array:
+    """Token strings by id, built once per worker process."""
+    key = ("tokens", hash(raw.value))
+    if key not in _loaded:
+        spec = json.loads(raw.value)
+        named = {i: s for s, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        _loaded[key] = pa.array([named.get(i) for i in range(max(named) + 1)], pa.string())
+    return _loaded[key]
 
 
 def bpe_decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """``encoded`` with a column ``decoded``: the tokens of ``ids`` joined by spaces; null ids decode to ''."""
+    """``encoded`` with a column ``decoded``: the tokens of ``ids`` joined by spaces; null ids decode to ''.
+
+    An id outside the vocabulary is skipped.
+    """
     raw = _source(encoded.sparkSession, path)
 
-    @F.pandas_udf("string")
-    def run(column):
-        model = _model(raw)
-        return column.map(lambda x: "" if x is None else model.decode(x.tolist()))
+    @F.arrow_udf("string")
+    def run(lists: pa.Array) -> pa.Array:
+        table, out, start, held = _tokens(raw), [], 0, 0
+        lists = pc.fill_null(lists, pa.scalar([], lists.type))
+        for k, size in enumerate(pc.list_value_length(lists).to_numpy(zero_copy_only=False)):
+            held += int(size)
+            if held >= SLICE_CHARS or k == len(lists) - 1:
+                part = lists.slice(start, k + 1 - start)
+                flat = part.flatten()
+                known = pc.and_kleene(pc.greater_equal(flat, 0), pc.less(flat, len(table)))
+                words = table.take(pc.if_else(known, flat, None))
+                offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(part).to_numpy(zero_copy_only=False))])
+                if words.null_count:
+                    gone = np.concatenate([[0], np.cumsum(words.is_null().to_numpy(zero_copy_only=False))])
+                    offsets, words = offsets - gone[offsets], words.drop_null()
+                out.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words), " "))
+                start, held = k + 1, 0
+        return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
     return encoded.withColumn(text, run(F.col(ids)))
 

@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embedding_dedup, simhash
+from . import bpe, chat, embedding_dedup, langid, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_quality": quality.op2_quality,
         "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
         "op7_chat_format": chat.op7_chat_format,
         "op8_bpe": bpe.op8_bpe,
+        "op9_language_id": langid.op9_language_id,
         "op10_simhash_dedup": simhash.op10_simhash_dedup,
     }
 

@@ -46,6 +46,40 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in kept else chr(next(spare)) for b in range(256)]
 
 
+class IntMap:
+    """Hash map from non-negative integers to integers with vectorised lookup (open addressing)."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, default: int):
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.default = default
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.values = np.full(1 << self.bits, default, dtype=np.int64)
+        for key, value, at in zip(keys.tolist(), values.tolist(), self._slot(keys).tolist(), strict=True):
+            while self.keys[at] >= 0:
+                at = (at + 1) & ((1 << self.bits) - 1)
+            self.keys[at], self.values[at] = key, value
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], self.default)
+        todo = np.flatnonzero((found != keys) & (found >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[at[todo]]
+            hit = found == keys[todo]
+            out[todo[hit]] = self.values[at[todo[hit]]]
+            todo = todo[~hit & (found >= 0)]
+        return out
+
+
+#: Words of more bytes than this are handled one at a time.
+WIDE = 64
+
+
 class WordBpe:
     """Tables of a word-end BPE file, and the encoder over them."""
 
@@ -69,8 +103,9 @@ class WordBpe:
             self.merge.setdefault((a, b), (r, t))
             if self.rank[t] < 0:
                 self.rank[t], self.left[t], self.right[t] = r, a, b
-        order = np.argsort(keys, kind="stable")
-        self.pair_key, self.pair_rank = keys[order], ranks[order]
+        first = np.unique(keys, return_index=True)[1]
+        self.ranks = IntMap(keys[first], ranks[first], NONE)
+        self.made = np.array([self.vocab[x + y] for x, y in pairs], dtype=np.int64)
         self.letters = byte_letters()
         special = set(self.added.values())
         self.inner: dict[str, int] = {}
@@ -80,11 +115,9 @@ class WordBpe:
                 body = s.removesuffix(self.end)
                 if body and (own := self._merged(self._symbols(body, s != body))) == [t]:
                     (self.final if s != body else self.inner)[body] = own[0]
-        self.longest = max(map(len, [*self.inner, *self.final]), default=1)
-        #: Longest token that starts with the same two letters.
-        self.reach: dict[str, int] = {}
-        for body in [*self.inner, *self.final]:
-            self.reach[body[:2]] = max(self.reach.get(body[:2], 1), len(body))
+        self._grow_trie()
+        self.plain = np.array([self.vocab[c] for c in self.letters])
+        self.closing = np.array([self.vocab[c + self.end] for c in self.letters])
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.forget()
 
@@ -94,15 +127,32 @@ class WordBpe:
         self.pool = np.empty(0, dtype=np.int32)
         self.start = np.empty(0, dtype=np.int64)
         self.length = np.empty(0, dtype=np.int64)
-        self._remember(list(self.added), [[i] for i in self.added.values()])
+        self._remember(list(self.added), np.array(list(self.added.values()), dtype=np.int64), np.ones(len(self.added), dtype=np.int64))
 
-    def _remember(self, words: list[str], ids: list[list[int]]) -> None:
-        for w in words:
-            self.known[w] = len(self.known)
-        length = np.array([len(x) for x in ids], dtype=np.int64)
+    def _remember(self, words: list[str], flat: np.ndarray, length: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
         self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(length.sum()))])
+        self.pool = np.concatenate([self.pool, flat.astype(np.int32)])
+
+    def _grow_trie(self) -> None:
+        """Reachable tokens by their bytes: a node's token inside a word, and at its end (-1: none)."""
+        value = {c: b for b, c in enumerate(self.letters)}
+        step: dict[int, int] = {}
+        inner, final = [-1], [-1]
+        for tokens, accept in ((self.inner, inner), (self.final, final)):
+            for body, t in tokens.items():
+                node = 0
+                for c in body:
+                    key = node << 8 | value[c]
+                    if key not in step:
+                        step[key] = len(inner)
+                        inner.append(-1)
+                        final.append(-1)
+                    node = step[key]
+                accept[node] = t
+        self.trie = IntMap(np.array(list(step), dtype=np.int64), np.array(list(step.values()), dtype=np.int64), -1)
+        self.accept = np.array(inner, dtype=np.int64), np.array(final, dtype=np.int64)
 
     def _symbols(self, body: str, closed: bool = True) -> list[int]:
         ids = [self.vocab[c] for c in (body[:-1] if closed else body)]
@@ -129,22 +179,63 @@ class WordBpe:
                     heapq.heappush(heap, (m[0], x, m[1], ids[x], ids[y]))
         return [t for t in ids if t >= 0]
 
-    def _proposed(self, word: str) -> list[int] | None:
-        """Greedy longest match over the reachable tokens."""
-        out, i, n, inner, final, reach = [], 0, len(word), self.inner, self.final, self.reach
-        while i < n:
-            most = reach.get(word[i : i + 2], 1)
-            if n - i <= most and (t := final.get(word[i:])) is not None:
-                out.append(t)
-                return out
-            for j in range(min(n - 1, i + most), i, -1):
-                if (t := inner.get(word[i:j])) is not None:
-                    out.append(t)
-                    i = j
-                    break
-            else:
-                return None
-        return out
+    def propose(self, blob: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match of all words in step: (word, token) of every proposal, in order of words.
+
+        Every word walks the trie from the start of its next token, remembers
+        the last token passed, and falls back to it where the walk ends.  A
+        byte is a token, so there always is one.
+        """
+        inner, final = self.accept
+        word = np.arange(len(start))
+        at, end = start.copy(), start + size
+        node, token, after = np.zeros(len(start), dtype=np.int64), np.full(len(start), -1), start.copy()
+        words, tokens = [], []
+        while len(word):
+            inside = at < end
+            node = np.where(inside, self.trie.get(node << 8 | blob[np.minimum(at, len(blob) - 1)]), -1)
+            on = node >= 0
+            at = at + on
+            here = np.where(on, np.where(at == end, final[node], inner[node]), -1)
+            token, after = np.where(here >= 0, here, token), np.where(here >= 0, at, after)
+            stop = ~on
+            words.append(word[stop])
+            tokens.append(token[stop])
+            at, node, token = np.where(stop, after, at), np.where(stop, 0, node), np.where(stop, -1, token)
+            live = ~stop | (at < end)
+            word, at, end, node, token, after = word[live], at[live], end[live], node[live], token[live], after[live]
+        words, tokens = np.concatenate(words), np.concatenate(tokens)
+        order = np.argsort(words, kind="stable")
+        return words[order], tokens[order]
+
+    def merge_all(self, ids: np.ndarray) -> np.ndarray:
+        """Exact merging of many words at once; a row is a word, padded with -1."""
+        ids = ids.copy()
+        n, width = ids.shape
+        if width < 2:
+            return ids
+        rank = np.where((ids[:, :-1] >= 0) & (ids[:, 1:] >= 0), self.ranks.get(np.maximum(ids[:, :-1], 0).ravel() << 32 | np.maximum(ids[:, 1:], 0).ravel()).reshape(n, width - 1), NONE)
+        rank = np.concatenate([rank, np.full((n, 1), NONE)], axis=1)
+        rows, columns = np.arange(n), np.arange(width)
+        while len(rows):
+            j = rank[rows].argmin(axis=1)
+            best = rank[rows, j]
+            rows, j, best = rows[best < NONE], j[best < NONE], best[best < NONE]
+            if not len(rows):
+                break
+            move = np.minimum(columns[None, :] + (columns[None, :] > j[:, None]), width - 1)
+            x, r = np.take_along_axis(ids[rows], move, axis=1), np.take_along_axis(rank[rows], move, axis=1)
+            x[:, -1], r[:, -1] = -1, NONE
+            k = np.arange(len(rows))
+            x[k, j] = self.made[best]
+            for left in (j - 1, j):
+                ok = (left >= 0) & (left + 1 < width)
+                a, b = x[k, np.maximum(left, 0)], x[k, np.minimum(left + 1, width - 1)]
+                ok &= b >= 0
+                r[k[left >= 0], left[left >= 0]] = NONE
+                r[k[ok], left[ok]] = self.ranks.get(a[ok] << 32 | b[ok])
+            ids[rows], rank[rows] = x, r
+        return ids
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether BPE keeps each pair of reachable tokens apart.
@@ -162,10 +253,7 @@ class WordBpe:
         live = np.arange(len(a))
         while len(live):
             x, y = a[live], b[live]
-            key = x << 32 | y
-            at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
-            faced = np.where(self.pair_key[at] == key, self.pair_rank[at], NONE)
-            broken = faced < limit[live]
+            broken = self.ranks.get(x << 32 | y) < limit[live]
             good[live[broken]] = False
             rx, ry = self.rank[x], self.rank[y]
             undo_left = rx > ry
@@ -179,22 +267,36 @@ class WordBpe:
         """Encode unknown words; returns how many needed exact merging."""
         if len(self.known) + len(words) > REMEMBERED:
             self.forget()
-        fresh = [w for w in words if w not in self.known]
-        letters = self.letters
-        mapped = ["".join([letters[x] for x in w.encode("utf-8", "surrogatepass")]) for w in fresh]
-        ids = [self._proposed(m) for m in mapped]
-        lengths = np.array([len(t or ()) for t in ids], dtype=np.int64)
-        flat = np.fromiter(chain.from_iterable(t or () for t in ids), dtype=np.int64, count=int(lengths.sum()))
-        failing = np.array([t is None for t in ids], dtype=bool)
-        if len(flat) > 1:
-            owner = np.repeat(np.arange(len(fresh)), lengths)
-            inside = owner[1:] == owner[:-1]
-            unique, where = np.unique((flat[:-1] << 32 | flat[1:])[inside], return_inverse=True)
-            kept = self.compatible(unique >> 32, unique & 0xFFFFFFFF)[where]
-            failing[owner[1:][inside][~kept]] = True
-        for k in np.flatnonzero(failing):
-            ids[k] = self._merged(self._symbols(mapped[k]))
-        self._remember(fresh, ids)
+        known = self.known
+        fresh = [w for w in words if w not in known]
+        if not fresh:
+            return 0
+        raw = [w.encode("utf-8", "surrogatepass") for w in fresh]
+        size = np.array([len(r) for r in raw], dtype=np.int64)
+        blob = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64)
+        start = np.cumsum(size) - size
+        word, token = self.propose(blob, start, size)
+        inside = np.flatnonzero(word[1:] == word[:-1])
+        pairs, where = np.unique(token[inside] << 32 | token[inside + 1], return_inverse=True)
+        failing = np.zeros(len(fresh), dtype=bool)
+        failing[word[inside[~self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)[where]]]] = True
+        words_, tokens_ = [word[~failing[word]]], [token[~failing[word]]]
+        for low, high in ((0, 8), (8, 12), (12, 18), (18, 28), (28, WIDE)):
+            some = np.flatnonzero(failing & (size > low) & (size <= high))
+            column = np.arange(high)[None, :]
+            at = start[some][:, None] + column
+            b = blob[np.minimum(at, len(blob) - 1)]
+            last = (size[some] - 1)[:, None]
+            ids = self.merge_all(np.where(column < last, self.plain[b], np.where(column == last, self.closing[b], -1)))
+            row, col = np.nonzero(ids >= 0)
+            words_.append(some[row])
+            tokens_.append(ids[row, col])
+        for k in np.flatnonzero(failing & (size > WIDE)):
+            ids = self._merged(self._symbols("".join([self.letters[x] for x in raw[k]])))
+            words_.append(np.full(len(ids), k))
+            tokens_.append(np.array(ids, dtype=np.int64))
+        word, token = np.concatenate(words_), np.concatenate(tokens_)
+        self._remember(fresh, token[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(fresh)))
         return int(failing.sum())
 
     def words(self, text: str) -> list[str]:

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,3 +53,16 @@ class Scratch:
         """Delete a kept table nothing refers to any more."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def held(expression: Column, *arrays: str) -> Column:
+    """``expression`` with its use of computed array columns inside lambdas kept apart from their computation.
+
+    The optimizer merges a projection into the next where a column is used once;
+    inside a lambda it would then be computed anew for every element.  A second
+    use, which cannot be simplified away, prevents that.  Null if an array is.
+    """
+    here = F.lit(True)
+    for a in arrays:
+        here = here & (F.size(a) >= 0)
+    return F.when(here, expression)

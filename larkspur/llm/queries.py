@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embedding_dedup, langid, quality, simhash
+from . import bpe, chat, embedding_dedup, html, langid, pii, quality, rules, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_html_text": html.op1_html_text,
         "op2_quality": quality.op2_quality,
         "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
+        "op4_pii": pii.op4_pii,
+        "op6_quality_rules": rules.op6_quality_rules,
         "op7_chat_format": chat.op7_chat_format,
         "op8_bpe": bpe.op8_bpe,
         "op9_language_id": langid.op9_language_id,

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, read_table
+from .common import Scratch, held, read_table
 
 #: Common words of a language (fixed values: its most frequent function words).
 COMMON = {
@@ -50,8 +50,8 @@ def features(docs: DataFrame) -> DataFrame:
     df = df.withColumn("words", F.when(F.col("_t") == "", F.array().cast("array<string>")).otherwise(F.split("_t", f"[{_SPACE}]+")))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{_SPACE}]"))
     df = df.withColumn("_lines", lines).withColumn("_h", F.transform("words", lambda w: F.xxhash64(w)))
-    windows = F.transform(F.sequence(F.lit(1), F.size("words") - WINDOW + 1), lambda i: F.xxhash64(F.slice("_h", i, WINDOW)))
-    df = df.withColumn("_w", F.when(F.size("words") > WINDOW, windows))
+    windows = F.transform(F.sequence(F.lit(1), F.size("_h") - WINDOW + 1), lambda i: F.xxhash64(F.slice("_h", i, WINDOW)))
+    df = df.withColumn("_w", F.when(F.size("_h") > WINDOW, windows))
     found = F.size(F.array_distinct("_w")) < F.size("_w")
     df = df.withColumn("_s", F.when(found, F.sort_array(F.transform("_w", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
     # Windows equal to a neighbour in hash order, then the length of the union of [i, i + 8).
@@ -75,7 +75,7 @@ def features(docs: DataFrame) -> DataFrame:
         repeated.cast("long").alias("n_repeat_words"),
         F.length("text").alias("n_chars"),
         *[v.alias(k) for k, v in counts.items()],
-        F.coalesce(hits, F.array().cast("array<int>")).alias("hits"),
+        F.coalesce(held(hits, "_common"), F.array().cast("array<int>")).alias("hits"),
     )
     df = df.withColumn("symbol", F.col("n_symbols").cast("int")).withColumn("rest", F.col("n_chars") - F.col("lower") - F.col("upper") - F.col("digit") - F.col("space") - F.col("symbol") - F.col("mark"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

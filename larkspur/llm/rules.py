@@ -106,7 +106,7 @@ def references(rows: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     return out
 
 
-def quality_rules(docs: DataFrame, char_limit: float = 0.35, word_limit: float = 0.6, least_chars: int = 200, least_words: int = 50) -> DataFrame:
+def quality_rules(docs: DataFrame, char_limit: float = 0.3, word_limit: float = 0.29, least_chars: int = 200, least_words: int = 60) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance``.
 
     Null texts count as empty (and fail by length); a text whose language is

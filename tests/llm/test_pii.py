@@ -53,7 +53,7 @@ def test_long_texts(spark):
     data = [(1, "a" * 300_000), (2, "a." * 200_000 + "@"), (3, "1" * 300_000), (4, "1 " * 200_000), (5, "1." * 200_000), (6, "+1" + " " * 300_000), (7, "a@b" + ".c" * 200_000), (8, "x@y.zz 1.2.3.4 " * 20_000), (9, "+1 " * 50_000)]
     t = time.time()
     got = {r.doc_id: r.n for r in pii.base_spans(spark.createDataFrame(data, "doc_id long, text string")).select("doc_id", F.size("base").alias("n")).collect()}
-    assert got[8] == 40_000 and got[7] == 1 and got[5] == len(brute("1." * 200_000)) and time.time() - t < 90
+    assert got[8] == 40_000 and got[7] == 1 and got[5] == 50_000 and time.time() - t < 90
 
 
 def test_query_rows(spark):

@@ -1,8 +1,66 @@
-"""The corpus pipeline: stages that clean, deduplicate, mask, mix and encode documents."""
+"""The corpus pipeline: documents are filtered by language, deduplicated, masked, mixed and encoded.
 
-STAGES: list = []
+Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the
+last return the columns of ``documents``.  Stages are joined by Parquet tables,
+so a lost executor costs work of one stage only.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larkspur.llm import bpe, langid, mixing, pii, simhash
+from larkspur.llm.common import Scratch, read_table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language cannot be told (no text, or no letter in it) go."""
+    return langid.identify(docs).where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near-duplicates the document with the smallest id stays; those without an id stay."""
+    groups = simhash.simhash_dedup(docs)
+    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in every text is replaced by a mask of its kind; ``n_chars`` follows the text."""
+    masked = pii.mask_pii(pii.find_pii(docs, Scratch(spark, "pipeline-pii")))
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are drawn by the rates that bring the domains to their target weights."""
+    rated = mixing.mixing_rates(docs, read_table(spark, sf_dir, "labels"), scratch=Scratch(spark, "pipeline-mix"))
+    return mixing.sampled(rated).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, and the text they decode to."""
+    done = bpe.bpe_decode(bpe.bpe_encode(docs))
+    return done.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("mix", mix),
+    ("encode", encode),
+]
+
+#: No SQL: suffix automata, XXH64 and BPE have none; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the documents of ``sf_dir``."""
+    scratch = Scratch(spark, "pipeline")
+    docs = read_table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

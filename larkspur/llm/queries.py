@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embedding_dedup, html, langid, pii, quality, rules, simhash
+from . import bpe, chat, embedding_dedup, html, langid, mixing, pii, quality, rules, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op2_quality": quality.op2_quality,
         "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
         "op4_pii": pii.op4_pii,
+        "op5_mixing": mixing.op5_mixing,
         "op6_quality_rules": rules.op6_quality_rules,
         "op7_chat_format": chat.op7_chat_format,
         "op8_bpe": bpe.op8_bpe,

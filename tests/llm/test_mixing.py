@@ -1,0 +1,58 @@
+import numpy as np
+
+from larkspur.llm import mixing
+from larkspur.llm.common import read_table
+
+DATA = "/root/testdata/sf0.01"
+
+
+def descend(n, p, target, rounds=60, tolerance=1e-4):
+    """The same descent on whole arrays."""
+    w = np.ones(len(n))
+    for _ in range(rounds):
+        r = (w * n) @ p - target
+        gram = (p * (n * (w > 0))[:, None]).T @ p
+        if np.abs(r).max() <= tolerance * target.sum():
+            break
+        w = np.maximum(0, w - p @ r / np.linalg.eigvalsh(gram)[-1])
+    return w
+
+
+def test_rates_equal_array_descent_and_meet_targets(spark):
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([0.3, 0.3, 0.3], 400)
+    n = rng.integers(1, 2000, 400)
+    df = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n_tokens long, p array<double>")
+    target = np.array([1.0, 0.3, 0.05]) * (n @ p)[0]
+    steps, total = mixing.fit_rates(df, target)
+    w = mixing.rates_of(p, steps)
+    assert np.allclose(w, descend(n, p, target)) and (w >= 0).all()
+    assert np.allclose(total, (w * n) @ p) and np.abs(total - target).max() < 0.02 * target.sum()
+
+
+def test_query_meets_targets(spark):
+    rows = mixing.op5_mixing(spark, DATA).toPandas()
+    assert len(rows) == 1000 and (rows.rate >= 0).all()
+    p = rows[[f"p_{d}" for d in mixing.DOMAINS]].to_numpy()
+    assert np.allclose(p.sum(axis=1), 1)
+    total = (rows.rate * rows.n_tokens).to_numpy() @ p
+    want = np.array([mixing.TARGETS[d] for d in mixing.DOMAINS])
+    assert np.abs(total / total.sum() - want).max() < 0.02
+
+
+def test_classifier_separates_domains(spark):
+    docs, labels = read_table(spark, DATA, "documents"), read_table(spark, DATA, "labels")
+    model = mixing.fit_domains(docs, labels)
+    got = mixing.posteriors(docs.join(labels, "doc_id"), model).toPandas()
+    best = np.stack(list(got.p)).argmax(axis=1)
+    truth = np.where(got.toxic == 1, 1, np.where(got.quality == 0, 2, 0))
+    assert np.mean(best[truth == 0] == 0) > 0.9 and np.mean(best[truth == 2] == 2) > 0.7
+
+
+def test_odd_rows(spark):
+    schema = "doc_id long, text string, rate string, p string"
+    docs = spark.createDataFrame([(1, None, "x", None), (2, "", "x", "y"), (None, "some words", None, None), (3, "w " * 300_000, "x", "x"), (3, "w " * 300_000, "x", "x")], schema)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = mixing.mixing_rates(docs, none).collect()
+    assert len(got) == 5 and all(r.rate >= 0 and abs(sum(r.p) - 1) < 1e-9 for r in got)
+    assert mixing.mixing_rates(docs.limit(0), none).count() == 0

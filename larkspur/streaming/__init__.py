@@ -1,0 +1 @@
+"""Reserved: the dialect reads snapshots only and has no streaming statements."""

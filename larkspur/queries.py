@@ -32,13 +32,13 @@ _STAR_ON = "l_orderkey = o_orderkey and o_custkey = c_custkey and l_suppkey = s_
 #: name: (statement of the dialect, ANSI SQL)
 DIALECT: dict[str, tuple[str, str]] = {
     "scan_project": ("select o_orderkey, o_totalprice as price from orders;", "SELECT o_orderkey, o_totalprice AS price FROM orders"),
-    "star_project": ("select * from nation;", "SELECT * FROM nation"),
-    "filter_pred": ("select l_orderkey, l_linenumber from lineitem where l_quantity < 10 and l_discount > 0.05;", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity < 10 AND l_discount > 0.05"),
+    "star_project": ("select * from nation;", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation"),
+    "filter_pred": ("select l_orderkey, l_linenumber from lineitem where l_quantity < 10 and l_discount > 0.05;", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM lineitem WHERE l_quantity < 10 AND l_discount > 0.05"),
     "filter_and_or": ("select o_orderkey from orders where o_custkey < 100 or o_orderkey > 500 and o_orderpriority = '1-URGENT';", "SELECT o_orderkey FROM orders WHERE (o_custkey < 100 OR o_orderkey > 500) AND o_orderpriority = '1-URGENT'"),
     "filter_not": ("select o_orderkey from orders where not (o_custkey < 700) and not 0;", "SELECT o_orderkey FROM orders WHERE NOT (o_custkey < 700)"),
     "filter_integer": ("select o_orderkey from orders where o_orderkey % 3;", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0"),
     "int_arith": ("select o_orderkey, o_orderkey * 3 - o_custkey / 7 as a, -o_orderkey + 5 as b from orders;", "SELECT o_orderkey, o_orderkey * 3 - o_custkey // 7 AS a, -o_orderkey + 5 AS b FROM orders"),
-    "int_overflow": ("select n_nationkey, n_nationkey + 9223372036854775807 as a from nation where n_nationkey < 3;", "SELECT n_nationkey, CAST(CASE WHEN n_nationkey = 0 THEN 9223372036854775807 ELSE -9223372036854775808 + (n_nationkey - 1) END AS BIGINT) AS a FROM nation WHERE n_nationkey < 3"),
+    "int_overflow": ("select n_nationkey, n_nationkey + 9223372036854775807 as a from nation where n_nationkey < 3;", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(CASE WHEN n_nationkey = 0 THEN 9223372036854775807 ELSE -9223372036854775808 + (n_nationkey - 1) END AS BIGINT) AS a FROM nation WHERE n_nationkey < 3"),
     "float_arith": ("select p_partkey, p_retailprice * 2 + 1 as a, p_retailprice / 4 as b from part;", "SELECT p_partkey, p_retailprice * 2 + 1 AS a, p_retailprice / 4 AS b FROM part"),
     "float_by_zero": ("select p_partkey, 1.0 / (p_size - p_size) as a from part;", "SELECT p_partkey, CAST('inf' AS DOUBLE) AS a FROM part"),
     "mixed_arith": ("select p_partkey, p_size + 0.5 as a, p_size > 10.5 as b from part;", "SELECT p_partkey, CAST(p_size AS DOUBLE) + 0.5 AS a, CAST(p_size > 10.5 AS BIGINT) AS b FROM part"),
@@ -46,7 +46,7 @@ DIALECT: dict[str, tuple[str, str]] = {
     "shift_ops": ("select o_orderkey, o_orderkey << 3 as a, o_orderkey >> 2 as b from orders;", "SELECT o_orderkey, o_orderkey * 8 AS a, o_orderkey // 4 AS b FROM orders"),
     "mod_signed": ("select o_orderkey, (500 - o_orderkey) % 7 as a, (500 - o_orderkey) / 7 as b from orders;", "SELECT o_orderkey, (500 - o_orderkey) % 7 AS a, CAST(trunc((500 - o_orderkey) / 7) AS BIGINT) AS b FROM orders"),
     "cmp_as_int": ("select o_orderkey, (o_custkey > 50) + (o_orderkey <> 3) as a, 1 = 2 < 3 as b from orders;", "SELECT o_orderkey, CAST(o_custkey > 50 AS BIGINT) + CAST(o_orderkey <> 3 AS BIGINT) AS a, CAST(1 AS BIGINT) AS b FROM orders"),
-    "precedence": ("select n_nationkey, 1 or n_nationkey > 3 and 0 as a, n_nationkey | 1 ^ 3 & 2 as b, not 1 < 2 as c from nation;", "SELECT n_nationkey, CAST(0 AS BIGINT) AS a, CAST(n_nationkey | 3 AS BIGINT) AS b, CAST(1 AS BIGINT) AS c FROM nation"),
+    "precedence": ("select n_nationkey, 1 or n_nationkey > 3 and 0 as a, n_nationkey | 1 ^ 3 & 2 as b, not 1 < 2 as c from nation;", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(0 AS BIGINT) AS a, CAST(n_nationkey | 3 AS BIGINT) AS b, CAST(1 AS BIGINT) AS c FROM nation"),
     "string_cmp": ("select c_custkey, c_mktsegment < 'C' as a from customer where c_mktsegment >= 'B';", "SELECT c_custkey, CAST(c_mktsegment < 'C' AS BIGINT) AS a FROM customer WHERE c_mktsegment >= 'B'"),
     "values_source": ("select t.x + 1 as a, y as b, z as c from (values (1, 'a', 1.), (2, 'b', 2)) t(x, y, z);", "SELECT CAST(x + 1 AS BIGINT) AS a, y AS b, CAST(z AS DOUBLE) AS c FROM (VALUES (1, 'a', 1.0), (2, 'b', 2.0)) t(x, y, z)"),
     "const_select": ("select 1 + 2 * 3 as a, 2 * 5 / -10 as b, -----5--6 as c, 'x' as d;", "SELECT CAST(7 AS BIGINT) AS a, CAST(-1 AS BIGINT) AS b, CAST(1 AS BIGINT) AS c, 'x' AS d"),

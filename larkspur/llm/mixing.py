@@ -15,7 +15,6 @@ lost executor costs one pass over a written table of K + 1 numbers a document.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,10 @@ from .common import Scratch, read_table
 from .sampling import class_sample, piece
 
 PIECE = 3_000
-VOCABULARY = 20_000
+VOCABULARY = 3_000
+DOMAINS = ["good", "toxic", "poor"]
+#: Default target shares of tokens: mostly good, some poor, little toxic.
+TARGETS = {"good": 0.94, "poor": 0.05, "toxic": 0.01}
 DOMAINS = ["good", "toxic", "poor"]
 #: Default target shares of tokens: mostly good, some poor, little toxic.
 TARGETS = {"good": 0.94, "poor": 0.05, "toxic": 0.01}
@@ -35,36 +37,89 @@ TARGETS = {"good": 0.94, "poor": 0.05, "toxic": 0.01}
 SHAPES = 3
 
 
-def _shape(word: str) -> int:
-    return 2 if not word[-1].isalnum() and word[-1] not in ".,;:" else 1 if word.isupper() and len(word) > 1 else 0
+DENSE = 7  # features besides the words
 
 
 class DomainModel:
-    """Multinomial naive Bayes over a bounded vocabulary and the shapes of other words, calibrated by a temperature."""
+    """Multinomial logistic regression on which informative words a text has, and on the shapes of its words."""
 
-    def __init__(self, domains: list[str], vocabulary: dict[str, int], weights: np.ndarray, prior: np.ndarray, heat: float):
-        self.domains, self.vocabulary, self.weights, self.prior, self.heat = domains, vocabulary, weights, prior, heat
+    def __init__(self, domains: list[str], vocabulary: dict[str, int], weights: np.ndarray):
+        self.domains, self.vocabulary, self.weights = domains, vocabulary, weights
 
-    def rows(self, words: list[str]) -> np.ndarray:
+    def features(self, words: list[str]) -> tuple[list[int], list[float]]:
+        """(numbers of the informative words present, shape features)."""
+        n, different = max(len(words), 1), set(words)
         get = self.vocabulary.get
-        return np.array([get(w) or _shape(w) for w in words], dtype=np.int32)
-
-    def log_odds(self, text: str | None) -> tuple[np.ndarray, int]:
-        words = (text or "").split()
-        if not words:
-            return np.zeros(len(self.domains)), 0
-        return self.weights[self.rows(words)].sum(axis=0), len(words)
-
-    def posterior(self, odds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Rows of posteriors; evidence grows with the root of a text's length, as its words are not independent."""
-        z = self.heat * odds / np.sqrt(np.maximum(sizes, 1))[:, None] + self.prior
+        upper = sum(map(str.isupper, words)) / n
+        bars = words.count("|") / n
+        odd = sum([not w[-1].isalnum() and w[-1] not in ".,;:|" for w in words]) / n
+        return [i for w in different if (i := get(w)) is not None], [1.0, 5 * upper, 5 * bars, 5 * odd, 3 * len(different) / n, 3 * (len(different) / n) ** 2, min(np.log(n + 1.0), 8.0) / 4]
+
+    def score(self, words: list[str]) -> np.ndarray:
+        present, dense = self.features(words)
+        return self.weights[DENSE:][present].sum(axis=0) + np.array(dense) @ self.weights[:DENSE]
+
+    def posterior(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of posteriors, and the number of words of each text."""
+        cut = [(t or "").split() for t in texts]
+        z = np.array([self.score(ws) for ws in cut]).reshape(-1, len(self.domains))
+        z -= z.max(axis=1, keepdims=True, initial=-np.inf) if len(z) else 0.0
+        p = np.exp(z)
+        return p / p.sum(axis=1, keepdims=True), np.array([len(ws) for ws in cut], dtype=np.int64)
+
+
+def _informative(texts: list[list[str]], y: np.ndarray, k: int, least: int = 4) -> dict[str, int]:
+    """Words whose presence tells most about the domain (by mutual information), most telling first."""
+    by: dict[str, np.ndarray] = {}
+    for ws, d in zip(texts, y, strict=True):
+        for w in set(ws):
+            if w not in by:
+                by[w] = np.zeros(k)
+            by[w][d] += 1
+    names = sorted(w for w, c in by.items() if c.sum() >= least)
+    if not names:
+        return {}
+    on, size = np.stack([by[w] for w in names]), np.bincount(y, minlength=k).astype(float)
+    gain = np.zeros(len(names))
+    for part in (on, size - on):
+        joint, alone = part / size.sum(), part.sum(axis=1, keepdims=True) / size.sum()
+        expected = alone * size / size.sum()
+        gain += np.where(joint > 0, joint * np.log(np.maximum(joint, 1e-12) / np.maximum(expected, 1e-12)), 0.0).sum(axis=1)
+    best = np.argsort(-gain, kind="stable")[:VOCABULARY]
+    return {names[i]: r for r, i in enumerate(best)}
+
+
+def _regression(rows: list[tuple[list[int], list[float]]], y: np.ndarray, width: int, k: int, l2: float = 2e-4, steps: int = 250, rate: float = 0.05) -> np.ndarray:
+    """Full-batch Adam on the mean log loss, every domain weighted alike."""
+    owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    word = np.concatenate([np.array(r[0], dtype=np.int64) for r in rows]) if len(owner) else np.zeros(0, dtype=np.int64)
+    dense = np.array([r[1] for r in rows])
+    weight = 1.0 / (np.bincount(y, minlength=k)[y] * len(np.unique(y)))
+    w, m, v = np.zeros((DENSE + width, k)), 0.0, 0.0
+    target = np.eye(k)[y]
+    for t in range(1, steps + 1):
+        z = dense @ w[:DENSE]
+        for c in range(k):
+            z[:, c] += np.bincount(owner, w[DENSE + word, c], minlength=len(rows))
         z -= z.max(axis=1, keepdims=True)
         p = np.exp(z)
-        return p / p.sum(axis=1, keepdims=True)
+        p /= p.sum(axis=1, keepdims=True)
+        error = (p - target) * weight[:, None]
+        grad = l2 * w
+        grad[:DENSE] += dense.T @ error
+        for c in range(k):
+            grad[DENSE:, c] += np.bincount(word, error[owner, c], minlength=width)
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, per_class: int = 1_500) -> DomainModel:
-    """Classifier of the labels' domains from a bounded sample: ``per_class`` texts, ``PIECE`` characters of each."""
+    """Classifier of the labels' domains from a bounded sample: ``per_class`` texts, ``PIECE`` characters of each.
+
+    Domains weigh alike in the fit; their shares among all labels are then put
+    back as priors.  Without labels every posterior is equal.
+    """
     y = F.when(F.col("toxic") == 1, F.lit("toxic")).when(F.col("quality") == 0, F.lit("poor")).when(F.col("quality") == 1, F.lit("good"))
     rows = labels.select("doc_id", y.alias("y"))
     picked, counts = class_sample(rows, "y", "doc_id", per_class, len(DOMAINS))
@@ -72,32 +127,13 @@ def fit_domains(docs: DataFrame, labels: DataFrame, per_class: int = 1_500) -> D
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "y", piece(F.col("text"), F.col("doc_id"), PIECE).alias("t"))
     sample = texts.where("t <> ''").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("t").alias("t")).orderBy(F.xxhash64("doc_id", F.lit("order")), "doc_id").limit(6 * per_class).collect()
     k = len(DOMAINS)
-    prior = np.log(np.array([counts.get(d, 0) for d in DOMAINS]) + 0.5)
-    prior -= np.log(np.exp(prior).sum())
-    seen, of = Counter(), []
-    for r in sample:
-        ws = r["t"].split()
-        of.append((DOMAINS.index(r["y"]), ws))
-        seen.update(set(ws))
-    vocabulary = {w: i + SHAPES for i, (w, n) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY]) if n > 1}
-    tally = np.zeros((len(vocabulary) + SHAPES, k))
-    model = DomainModel(DOMAINS, vocabulary, tally, prior, 1.0)
-    fit, rest = of[::2], of[1::2]
-    for d, ws in fit:
-        np.add.at(tally, (model.rows(ws), d), 1.0)
-    logs = np.log((tally + 0.5) / (tally.sum(axis=0) + 0.5 * len(tally)))
-    model.weights = weights = logs - logs.mean(axis=1, keepdims=True)
-    if rest:  # temperature that makes the held-back half likeliest, classes weighted alike
-        scored = [model.log_odds(" ".join(ws)) for _, ws in rest]
-        odds, sizes, y_ = np.array([s[0] for s in scored]), np.array([s[1] for s in scored]), np.array([d for d, _ in rest])
-        n = np.bincount(y_, minlength=k)
-        flat = DomainModel(DOMAINS, vocabulary, weights, np.zeros(k), 1.0)
-
-        def loss(heat: float) -> float:
-            flat.heat = heat
-            return float(-(np.log(flat.posterior(odds, sizes)[np.arange(len(y_)), y_] + 1e-12) / n[y_]).sum())
-
-        model.heat = min((0.25 * 1.35**i for i in range(14)), key=loss)
+    cut = [ws for r in sample if (ws := r["t"].split())]
+    of = np.array([DOMAINS.index(r["y"]) for r in sample if r["t"].split()], dtype=np.int64)
+    if not len(cut):
+        return DomainModel(DOMAINS, {}, np.zeros((DENSE, k)))
+    model = DomainModel(DOMAINS, _informative(cut, of, k), np.zeros((DENSE, k)))
+    model.weights = _regression([model.features(ws) for ws in cut], of, len(model.vocabulary), k)
+    model.weights[0] += np.log(np.array([counts.get(d, 0) for d in DOMAINS]) + 0.5)
     return model
 
 
@@ -107,11 +143,8 @@ def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
 
     @F.pandas_udf("n_tokens long, p array<double>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        m = shared.value
-        scored = [m.log_odds(t) for t in texts]
-        odds = np.array([s[0] for s in scored]).reshape(-1, len(m.domains))
-        sizes = np.array([s[1] for s in scored], dtype=np.int64)
-        return pd.DataFrame({"n_tokens": sizes, "p": list(m.posterior(odds, sizes))})
+        p, sizes = shared.value.posterior(list(texts))
+        return pd.DataFrame({"n_tokens": sizes, "p": list(p)})
 
     rest = docs.drop("n_tokens", "p", "_m")
     return rest.withColumn("_m", run(F.col("text"))).select(*rest.columns, "_m.n_tokens", "_m.p")
@@ -125,6 +158,13 @@ def rates_of(p: np.ndarray, steps: np.ndarray) -> np.ndarray:
     return w
 
 
+def step_of(residual: np.ndarray, gram: np.ndarray, scaled: bool) -> np.ndarray:
+    """The gradient scaled by the inverse Gram matrix (with a small ridge), or by its largest eigenvalue."""
+    if scaled:
+        return np.linalg.solve(gram + 1e-3 * np.trace(gram) / len(gram) * np.eye(len(gram)), residual)
+    return residual / np.linalg.eigvalsh(gram)[-1]
+
+
 def fit_rates(members: DataFrame, targets: np.ndarray, rounds: int = 60, tolerance: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Steps of the projected gradient that meet the target tokens per domain, and the totals they reach.
 
@@ -153,13 +193,17 @@ def fit_rates(members: DataFrame, targets: np.ndarray, rounds: int = 60, toleran
         return v[:k], v[k:].reshape(k, k)
 
     total, gram = sums(steps)
-    scale = max(float(targets.sum()), 1.0)
+    scale, scaled = max(float(targets.sum()), 1.0), True
     for _ in range(rounds):
         residual = total - targets
         if np.abs(residual).max() <= tolerance * scale or not gram.any():
             break
-        steps = np.vstack([steps, residual / np.linalg.eigvalsh(gram)[-1]])
-        total, gram = sums(steps)
+        new = np.vstack([steps, step_of(residual, gram, scaled)])
+        found = sums(new)
+        if scaled and np.linalg.norm(found[0] - targets) >= np.linalg.norm(residual):
+            scaled = False  # the bounds change too much for the scaled step
+            continue
+        steps, (total, gram) = new, found
     return steps, total
 
 
@@ -189,7 +233,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     return members.withColumn("rate", rate(F.col("p")))
 
 
-def sampled(rated: DataFrame, key: str = "doc_id", slack: float = 0.1) -> DataFrame:
+def sampled(rated: DataFrame, key: str = "doc_id", slack: float = 0.2) -> DataFrame:
     """Documents drawn once each by their rate; a rate within ``slack`` of one (or more) is sure to stay.
 
     The draw is a hash of the key, so a retried task draws the same; a null key

@@ -8,16 +8,33 @@ DATA = "/root/testdata/sf0.01"
 
 def descend(n, p, target, rounds=60, tolerance=1e-4):
     """The same descent on whole arrays."""
-    w = np.ones(len(n))
+    w, scaled = np.ones(len(n)), True
     for _ in range(rounds):
         r = (w * n) @ p - target
         gram = (p * (n * (w > 0))[:, None]).T @ p
         if np.abs(r).max() <= tolerance * target.sum():
             break
-        w = np.maximum(0, w - p @ r / np.linalg.eigvalsh(gram)[-1])
+        new = np.maximum(0, w - p @ mixing.step_of(r, gram, scaled))
+        if scaled and np.linalg.norm((new * n) @ p - target) >= np.linalg.norm(r):
+            scaled = False
+            continue
+        w = new
     return w
 
 
+def test_plain_gradient_meets_targets():
+    """Where scaled steps would not do, plain ones still descend."""
+    rng = np.random.default_rng(3)
+    p, n = rng.dirichlet([0.3, 0.3, 0.3], 400), rng.integers(1, 2000, 400)
+    target, w = np.array([1.0, 0.3, 0.05]) * (n @ p)[0], np.ones(400)
+    errors = []
+    for _ in range(60):
+        r = (w * n) @ p - target
+        errors.append(np.linalg.norm(r))
+        w = np.maximum(0, w - p @ mixing.step_of(r, (p * (n * (w > 0))[:, None]).T @ p, False))
+    assert errors[-1] < 0.2 * errors[0] and all(b <= a * 1.0001 for a, b in zip(errors, errors[1:], strict=False))
+
+
 def test_rates_equal_array_descent_and_meet_targets(spark):
     rng = np.random.default_rng(3)
     p = rng.dirichlet([0.3, 0.3, 0.3], 400)
@@ -46,7 +63,7 @@ def test_classifier_separates_domains(spark):
     got = mixing.posteriors(docs.join(labels, "doc_id"), model).toPandas()
     best = np.stack(list(got.p)).argmax(axis=1)
     truth = np.where(got.toxic == 1, 1, np.where(got.quality == 0, 2, 0))
-    assert np.mean(best[truth == 0] == 0) > 0.9 and np.mean(best[truth == 2] == 2) > 0.7
+    assert np.mean(best[truth == 0] == 0) > 0.97 and np.mean(best[truth == 2] == 2) > 0.9 and np.mean(best[truth == 1] == 1) > 0.6
 
 
 def test_odd_rows(spark):

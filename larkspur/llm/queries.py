@@ -27,4 +27,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_dedup": embedding_dedup.OP3_SQL}
+    return {"op3_embedding_dedup": embedding_dedup.OP3_SQL, "op6_quality_rules": rules.OP6_SQL}

@@ -130,4 +130,58 @@ def quality_rules(docs: DataFrame, char_limit: float = 0.3, word_limit: float =
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(read_table(spark, sf_dir, "documents"))
+    return quality_rules(read_table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
+
+
+def _sql() -> str:
+    """The same rules in DuckDB's SQL, written from the same constants."""
+    lang = " ".join(f"WHEN lower(trim(lang)) LIKE '{k}%' THEN '{k}'" for k in COMMON)
+    lists = " ".join(f"WHEN '{k}' THEN {ws!r}" for k, ws in COMMON.items())
+    only = {"lower": "\\p{Ll}", "upper": "\\p{Lu}", "digit": "0-9", "space": _SPACE, "symbol": "#*$%&|<>", "mark": ".,;:!?''\"()\\-"}
+    counts = ", ".join(f"length(regexp_replace(text, '[^{c}]+', '', 'g')) AS {k}" for k, c in only.items())
+    rest = "n_chars - " + " - ".join(only)
+    vector = f"[{', '.join(only)}, {rest}]"
+    sums = ", ".join(f"sum({c})" for c in [*only, rest])
+
+    def distance(p: str, q: str) -> str:
+        term = "CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0.0 END"
+        both = term.format(a="z[1]", b="z[2]") + " + " + term.format(a="z[2]", b="z[1]")
+        return f"sqrt(greatest(list_sum(list_transform(list_zip({p}, {q}), lambda z: {both})) / 2, 0.0))"
+
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, CASE {lang} ELSE '{OTHER}' END AS lang FROM documents
+), w AS (
+  SELECT *, list_filter(regexp_split_to_array(text, '[{_SPACE}]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{_SPACE}]')) AS lines, CASE lang {lists} ELSE [] END AS common FROM d
+), win AS (
+  SELECT rid, u.i AS i, array_to_string(words[u.i : u.i + 7], ' ') AS g FROM w, unnest(range(1, len(words) - 6)) u(i)
+), dup AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM win) WHERE c > 1
+), cov AS (
+  SELECT rid, sum(least({WINDOW}, nxt - i)) AS n FROM (SELECT rid, i, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i), i + {WINDOW}) AS nxt FROM dup) GROUP BY rid
+), f AS (
+  SELECT w.rid, doc_id, lang, len(words) AS n_words, coalesce(length(array_to_string(words, '')), 0) AS word_chars, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(cov.n, 0) AS n_repeat_words, length(text) AS n_chars, {counts},
+    list_transform(common, lambda c: len(list_filter(words, lambda x: x = c OR x = upper(c[1:1]) || c[2:]))) AS hits
+  FROM w LEFT JOIN cov ON cov.rid = w.rid
+), b AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f
+), rc AS (
+  SELECT lang, list_transform([{sums}], lambda x: x / greatest(sum(n_chars), 1)) AS q, sum(n_words) AS n FROM b WHERE NOT base_failed GROUP BY lang
+), rh AS (
+  SELECT lang, k, sum(h) AS h FROM (SELECT lang, unnest(hits) AS h, generate_subscripts(hits, 1) AS k FROM b WHERE NOT base_failed) GROUP BY lang, k
+), rw AS (
+  SELECT rh.lang, list(h / greatest(rc.n, 1) ORDER BY k) AS q FROM rh JOIN rc ON rc.lang = rh.lang GROUP BY rh.lang
+), s AS (
+  SELECT b.*, CASE WHEN n_chars >= 200 THEN {distance(f"list_transform({vector}, lambda x: x / n_chars)", "rc.q")} END AS cd,
+    CASE WHEN n_words >= 60 AND len(hits) > 0 THEN {distance("list_append(list_transform(hits, lambda x: x / n_words), 1 - list_sum(hits) / n_words)", "list_append(rw.q, 1 - list_sum(rw.q))")} END AS wd
+  FROM b LEFT JOIN rc ON rc.lang = b.lang LEFT JOIN rw ON rw.lang = b.lang
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(symbol AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(cd > 0.3, false) AND NOT coalesce(wd > 0.29, false) AS kept
+FROM s
+"""
+
+
+OP6_SQL = _sql()

@@ -50,8 +50,8 @@ class Engine:
         self.spark, self.catalog, self.options = spark, Catalog(spark, root), Options()
         self.locks, self._numbers, self.stats = LockManager(), count(1), {}
 
-    def attach(self, name: str, df: DataFrame) -> Engine:
-        """Make a frame readable as a table."""
+    def attach(self, name: str, df: DataFrame | Callable[[], DataFrame]) -> Engine:
+        """Make a frame readable as a table, or a function that opens one when a statement first names it."""
         self.catalog.attached[name] = df
         return self
 
@@ -92,6 +92,8 @@ class Engine:
     def _reader(self, txn: Txn) -> Callable:
         def read(name: str):
             if name in self.catalog.attached:
+                if not isinstance(self.catalog.attached[name], DataFrame):
+                    self.catalog.attached[name] = self.catalog.attached[name]()
                 return self.catalog.attached[name], frozenset()
             return self.catalog.read(self._table(txn, name)), frozenset([HIDDEN_KEY])
 

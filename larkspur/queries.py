@@ -22,7 +22,7 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 def engine(spark: SparkSession, sf_dir: str, stored: bool = False) -> Engine:
     made = Engine(spark, scratch_root(spark, "engine") if stored else None)
     for t in TABLES:
-        made.attach(t, spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+        made.attach(t, lambda t=t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
     return made
 
 

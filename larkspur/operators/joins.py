@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.catalog import scratch_root
+
 #: Hints of the physical strategies.
 STRATEGIES = {"merge": "merge", "shuffle_hash": "shuffle_hash", "broadcast": "broadcast", "nested_loop": "shuffle_replicate_nl"}
 
@@ -29,6 +32,8 @@ class Measured:
 
 #: A side is broadcast only if its counted rows times a row's width stay below this.
 BROADCAST_BYTES = 64 << 20
+#: Join graphs with more edges write the key sets of predicate transfer.
+LAZY_EDGES = 12
 
 
 def join_with(left: DataFrame, right: DataFrame, on: Column, strategy: str | None = None, row_bytes: int = 256) -> DataFrame:
@@ -45,40 +50,64 @@ def join_with(left: DataFrame, right: DataFrame, on: Column, strategy: str | Non
 
 
 def measure(frames: list[DataFrame], edges: list[Edge]) -> list[Measured]:
-    """Row counts and approximate distinct join keys; one aggregation a relation, combined on the map side."""
-    out = []
+    """Row counts and approximate distinct join keys; one job for all relations, combined on the map side."""
+    parts, keys = [], []
     for i, df in enumerate(frames):
-        keys = sorted({k for e in edges for j, k in ((e.left, e.left_key), (e.right, e.right_key)) if j == i})
-        row = df.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(k).alias(f"d{x}") for x, k in enumerate(keys)]).first()
-        out.append(Measured(float(row["n"]), {k: float(row[f"d{x}"]) for x, k in enumerate(keys)}))
-    return out
+        keys.append(sorted({k for e in edges for j, k in ((e.left, e.left_key), (e.right, e.right_key)) if j == i}))
+        distinct = F.array(*[F.approx_count_distinct(k) for k in keys[i]]).cast("array<long>")
+        parts.append(df.agg(F.lit(i).alias("i"), F.count(F.lit(1)).alias("n"), distinct.alias("d")))
+    rows = sorted(reduce(DataFrame.unionByName, parts).collect(), key=lambda r: r["i"])
+    return [Measured(float(r["n"]), dict(zip(k, map(float, r["d"]), strict=True))) for r, k in zip(rows, keys, strict=True)]
+
+
+def _key_sets(df: DataFrame, keys: list[str], path: str) -> dict[str, DataFrame]:
+    """The distinct values of every key, written by one scan and read back as column ``_k``."""
+    types = [df.schema[k].dataType for k in keys]
+    kinds = list(dict.fromkeys(types))
+
+    def tagged(i: int) -> Column:
+        return F.struct(F.lit(i).alias("e"), *[(F.col(keys[i]) if t == types[i] else F.lit(None).cast(t)).alias(f"k{n}") for n, t in enumerate(kinds)])
 
+    rows = df.select(F.explode(F.array(*map(tagged, range(len(keys))))).alias("x")).select("x.*").distinct()
+    rows.write.partitionBy("e").parquet(path)
+    kept = df.sparkSession.read.schema(rows.schema).parquet(path)
+    return {k: kept.where(F.col("e") == i).select(F.col(f"k{kinds.index(types[i])}").alias("_k")) for i, k in enumerate(keys)}
 
-def predicate_transfer(frames: list[DataFrame], edges: list[Edge], order: list[int] | None = None) -> list[DataFrame]:
+
+def planned_bytes(df: DataFrame) -> int:
+    """The planner's estimate of a frame's size; reads no data."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def predicate_transfer(frames: list[DataFrame], edges: list[Edge], order: list[int] | None = None, written: bool | None = None) -> list[DataFrame]:
     """Reduce every relation by the keys its neighbours still have: a pass forward, a pass back.
 
     Semi-joins are exact, so the join of the results equals the join of the
     inputs and dangling rows never reach it.  ``order`` runs from the most to
     the least selective relation (default: as given).
+
+    ``written`` key sets come from one scan per sending relation and pass and
+    go to the shared folder: a reduced relation is then its scan and one
+    semi-join an edge and pass.  Otherwise they are part of the plan; equal
+    exchanges are made once, but the plan grows with the square of the edges.
+    The default writes them for more than ``LAZY_EDGES`` edges.
     """
     frames = list(frames)
-    order = order or list(range(len(frames)))
-    place = {i: p for p, i in enumerate(order)}
-
-    def reduce(target: int, key: str, source: int, source_key: str) -> None:
-        keys = frames[source].select(F.col(source_key).alias("_k")).distinct()
-        frames[target] = frames[target].join(keys, F.col(key) == F.col("_k"), "left_semi")
-
-    for i in order:
-        for e in edges:
-            if e.right == i and place[e.left] < place[i]:
-                reduce(i, e.right_key, e.left, e.left_key)
-            elif e.left == i and place[e.right] < place[i]:
-                reduce(i, e.left_key, e.right, e.right_key)
-    for i in reversed(order):
-        for e in edges:
-            if e.right == i and place[e.left] > place[i]:
-                reduce(i, e.right_key, e.left, e.left_key)
-            elif e.left == i and place[e.right] > place[i]:
-                reduce(i, e.left_key, e.right, e.right_key)
+    order = list(range(len(frames))) if order is None else order
+    ends = [(e.left, e.left_key, e.right, e.right_key) for e in edges if e.left != e.right]
+    ends += [(c, d, a, b) for a, b, c, d in ends]
+    written = len(edges) > LAZY_EDGES if written is None else written
+    root = scratch_root(frames[0].sparkSession, "transfer") if written else ""
+    for number, turn in enumerate((order, order[::-1])):
+        place = {i: p for p, i in enumerate(turn)}
+        sent: dict[int, dict[str, DataFrame]] = {}
+        for i in turn:
+            for source, source_key, target, key in ends:
+                if target == i and place[source] < place[i]:
+                    frames[i] = frames[i].join(sent[source][source_key], F.col(key) == F.col("_k"), "left_semi")
+            keys = sorted({key for source, key, target, _ in ends if source == i and place[target] > place[i]})
+            if keys and written:
+                sent[i] = _key_sets(frames[i], keys, f"{root}/{number}-{i}")
+            else:
+                sent[i] = {k: frames[i].select(F.col(k).alias("_k")).distinct() for k in keys}
     return frames

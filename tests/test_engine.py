@@ -146,12 +146,13 @@ def test_join_costs():
     assert len(str(best_plan([Relation(str(i), 10, {}) for i in range(16)], [edge(i, "k", i + 1, "k") for i in range(15)]).tree)) > 16
 
 
-def test_predicate_transfer_keeps_the_join(spark):
+@pytest.mark.parametrize("written", [False, True])
+def test_predicate_transfer_keeps_the_join(spark, written):
     rng = random.Random(4)
     frames = [spark.createDataFrame([(rng.randint(1, 60), rng.randint(1, 60)) for _ in range(300)], f"a{i} long, b{i} long") for i in range(4)]
     edges = [joins.Edge(i, f"b{i}", i + 1, f"a{i + 1}") for i in range(3)]
     frames[0] = frames[0].filter("a0 < 5")
-    reduced = joins.predicate_transfer(frames, edges)
+    reduced = joins.predicate_transfer(frames, edges, written=written)
 
     def joined(fs):
         out = fs[0]
@@ -163,6 +164,22 @@ def test_predicate_transfer_keeps_the_join(spark):
     assert sum(f.count() for f in reduced) < sum(f.count() for f in frames)
 
 
+def test_predicate_transfer_over_a_wide_star(spark):
+    """A hub whose keys have two types, with more edges than a plan should hold; one dimension is empty."""
+    n = joins.LAZY_EDGES + 1
+    hub = spark.range(200).selectExpr("id as h", *[f"id % {i + 7} as k{i}" for i in range(n - 1)], f"cast(id % 5 as string) as k{n - 1}")
+    dims = [spark.range(5).selectExpr(f"id as d{i}") for i in range(n - 1)] + [spark.range(3).selectExpr(f"cast(id as string) as d{n - 1}")]
+    edges = [joins.Edge(0, f"k{i}", i + 1, f"d{i}") for i in range(n)]
+    reduced = joins.predicate_transfer([hub, *dims], edges, [*range(1, n + 1), 0])
+    want = [r for r in range(200) if all(r % (i + 7) < 5 for i in range(n - 1)) and r % 5 < 3]
+    assert sorted(r.h for r in reduced[0].collect()) == want and want
+    for i in (0, n - 1):
+        assert {r[0] for r in reduced[i + 1].collect()} == {r[f"k{i}"] for r in reduced[0].collect()}
+    assert reduced[1]._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 1
+    dims[0] = dims[0].where("d0 < 0")
+    assert all(f.isEmpty() for f in joins.predicate_transfer([hub, *dims], edges, [*range(1, n + 1), 0])[:3])
+
+
 def test_options_do_not_change_results(spark):
     e = Engine(spark)
     for t in ("lineitem", "orders", "customer", "nation", "region"):

@@ -49,6 +49,7 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark, self.catalog, self.options = spark, Catalog(spark, root), Options()
         self.locks, self._numbers, self.stats = LockManager(), count(1), {}
+        self._active: set[int] = set()
 
     def attach(self, name: str, df: DataFrame | Callable[[], DataFrame]) -> Engine:
         """Make a frame readable as a table, or a function that opens one when a statement first names it."""
@@ -58,7 +59,9 @@ class Engine:
     # -- transactions -----------------------------------------------------------
 
     def begin(self) -> Txn:
-        return Txn(next(self._numbers))
+        txn = Txn(next(self._numbers))
+        self._active.add(txn.number)
+        return txn
 
     def commit(self, txn: Txn) -> None:
         self._ended(txn)
@@ -70,11 +73,13 @@ class Engine:
         if txn.tables:
             self.catalog.save()
         txn.state = "committed"
+        self._active.discard(txn.number)
         self.locks.release_all(txn.number)
 
     def abort(self, txn: Txn) -> None:
         self._ended(txn)
         txn.state = "aborted"
+        self._active.discard(txn.number)
         self.locks.release_all(txn.number)
 
     @staticmethod
@@ -102,6 +107,48 @@ class Engine:
     def _binder(self, txn: Txn) -> Binder:
         return Binder(self.spark, self._reader(txn), self.options)
 
+    # -- storage ------------------------------------------------------------------
+
+    def compact(self, name: str, files: int = 0) -> int:
+        """Rewrite a table's segments as one, clustered by its primary key; the number of segments it had.
+
+        Many small inserts leave many segments; merged ones let range scans on
+        the key skip files and row groups.  ``files`` fixes the number of files.
+        """
+        txn = self.begin()
+        try:
+            table = self._table(txn, name, "X").copy()
+            had = len(table.segments)
+            if had > 1 or had and files:
+                rows = self.catalog.read(table)
+                if table.primary:
+                    key = f"`{table.primary}`"
+                    rows = (rows.repartitionByRange(files, key) if files else rows.repartitionByRange(key)).sortWithinPartitions(key)
+                elif files:
+                    rows = rows.repartition(files)
+                table.segments = [self.catalog.write(table, rows)]
+                txn.tables[name] = table
+        except BaseException:
+            self.abort(txn)
+            raise
+        self.commit(txn)
+        return had
+
+    def vacuum(self) -> int:
+        """Delete folders that no table names: older versions and aborted changes; their number.
+
+        Results that read an older version cannot be read afterwards.  Refused
+        while a transaction is open, as its changes are named by it alone.
+        """
+        found = self.catalog.segment_folders()  # listed first: what later transactions write is not in it
+        if self._active:
+            raise ExecError("a transaction is open")
+        used = {s.rsplit("/", 1)[-1] for t in self.catalog.tables.values() for s in t.segments}
+        old = [f for f in found if f not in used]
+        for folder in old:
+            self.catalog.remove_segment(folder)
+        return len(old)
+
     # -- statements ---------------------------------------------------------------
 
     def execute(self, sql: str, txn: Txn | None = None) -> Result:
@@ -113,7 +160,7 @@ class Engine:
         except TxnAbort:
             self.abort(own)
             raise
-        except EngineError:
+        except BaseException:  # also errors of Spark: no lock outlives its statement
             if txn is None:
                 self.abort(own)
             raise
@@ -129,9 +176,14 @@ class Engine:
         return self.frame(sql)._jdf.queryExecution().toString()
 
     def analyze(self, name: str) -> sketches.TableStats:
-        df, _ = self._reader(t := self.begin())(name)
-        self.stats[name] = sketches.analyze(df)
-        self.commit(t)
+        txn = self.begin()
+        try:
+            df, _ = self._reader(txn)(name)
+            self.stats[name] = sketches.analyze(df)
+        except BaseException:
+            self.abort(txn)
+            raise
+        self.commit(txn)
         return self.stats[name]
 
     def _run(self, s, txn: Txn) -> Result:
@@ -141,9 +193,7 @@ class Engine:
             return self._counted("indexes", 0)
         if isinstance(s, ast.CreateTable):
             self.locks.acquire(txn.number, s.name, "X")
-            if txn.tables.get(s.name):
-                raise PlanError(f"table {s.name!r} exists")
-            txn.tables[s.name] = self.catalog.define(s)
+            txn.tables[s.name] = self.catalog.define(s, {t.name: t for t in self._all(txn)})
             return self._counted("created tables", 1)
         if isinstance(s, ast.DropTable):
             table = self._table(txn, s.name, "X")

@@ -90,10 +90,19 @@ class Catalog:
             return self.spark.createDataFrame([], table.schema())
         return self.spark.read.schema(table.schema()).parquet(*table.segments)
 
-    def define(self, statement: ast.CreateTable) -> TableDef:
-        """Check a definition and make it; the caller puts it in place."""
+    def segment_folders(self) -> list[str]:
+        """Names of all folders below ``segments``, in use or not."""
+        fs, path = self._path("segments")
+        return [f.getPath().getName() for f in fs.listStatus(path)] if self.root and fs.exists(path) else []
+
+    def remove_segment(self, name: str) -> None:
+        fs, path = self._path(f"segments/{name}")
+        fs.delete(path, True)
+
+    def define(self, statement: ast.CreateTable, tables: dict[str, TableDef]) -> TableDef:
+        """Check a definition against the tables a transaction sees, and make it; the caller puts it in place."""
         names = [c.name for c in statement.columns]
-        if statement.name in self.tables or statement.name in self.attached:
+        if statement.name in tables or statement.name in self.attached:
             raise PlanError(f"table {statement.name!r} exists")
         if len(set(names)) < len(names):
             raise PlanError("column names repeat")
@@ -107,7 +116,7 @@ class Catalog:
         made = TableDef(statement.name, [(c.name, c.type.name, c.type.size) for c in statement.columns], primary[0] if primary else None, auto[0].name if auto else None)
         for c in statement.columns:
             if c.references:
-                target = self.tables.get(c.references[0])
+                target = tables.get(c.references[0])
                 if target is None or target.primary != c.references[1]:
                     raise PlanError(f"{c.references[0]}.{c.references[1]} is no primary key")
                 there = target.types()[c.references[1]]

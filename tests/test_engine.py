@@ -56,6 +56,62 @@ def test_constraints_and_persistence(spark, engine, tmp_path):
         again.execute("select * from D;")
 
 
+def test_compact_and_vacuum(spark, engine, tmp_path):
+    e = engine
+    e.execute("create table K(a int64 primary key, b varchar(9));")
+    for i in (3, 1, 2):
+        e.execute(f"insert into K values ({i}, 'r{i}'), ({i + 10}, 's{i}');")
+    with pytest.raises(ExecError):
+        e.execute("insert into K values (3, 'again');")
+    want = rows(e, "select * from K;")
+    assert e.compact("K") == 3 and e.compact("K") == 1 and rows(e, "select * from K;") == want
+    open_one = e.begin()
+    with pytest.raises(ExecError):
+        e.vacuum()
+    e.abort(open_one)
+    assert e.vacuum() == 4 and e.vacuum() == 0  # three inserts, and the one that failed
+    assert rows(Engine(spark, f"file://{tmp_path}/db"), "select * from K;") == want
+    with pytest.raises(PlanError):
+        e.compact("Nope")
+    with pytest.raises(PlanError):
+        e.analyze("Nope")
+    assert e.vacuum() == 0
+
+
+def test_definitions_inside_a_transaction(engine):
+    e = engine
+    t = e.begin()
+    e.execute("create table P(a int64 primary key);", t)
+    with pytest.raises(PlanError):
+        e.execute("create table P(a int64);", t)
+    e.execute("create table Q(a int64 foreign key references P(a));", t)
+    e.execute("insert into P values (1);", t)
+    e.execute("insert into Q values (1);", t)
+    with pytest.raises(ExecError):
+        e.execute("insert into Q values (2);", t)
+    e.commit(t)
+    t = e.begin()
+    e.execute("drop table Q;", t)
+    e.execute("create table Q(b float64);", t)
+    e.abort(t)
+    assert rows(e, "select a from Q;") == [(1,)]
+
+
+def test_a_failing_statement_holds_no_lock(engine, monkeypatch):
+    e = engine
+    e.execute("create table L(a int64);")
+
+    def broken(*_):
+        raise RuntimeError("the store is gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(e.catalog, "write", broken)
+        with pytest.raises(RuntimeError):
+            e.execute("insert into L values (1);")
+    assert e.locks.mode(e.begin().number - 1, "L") is None
+    assert rows(e, "insert into L values (2);") == [(1,)]
+
+
 def test_update_and_narrowing(engine):
     e = engine
     e.execute("create table t(k int32 primary key, f float64, s char(3));")

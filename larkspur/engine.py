@@ -8,7 +8,7 @@ from itertools import count
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import EngineError, ExecError, PlanError, TxnAbort
+from .errors import ExecError, PlanError, TxnAbort
 from .functions import sketches
 from .functions.types import FLOAT, INT, of_spark
 from .plans import ast

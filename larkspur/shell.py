@@ -1,4 +1,4 @@
-"""A small command line: statements end with ``;``; also exit, explain, show, analyze and stats."""
+"""A small command line: statements end with ``;``; also exit, explain, show, analyze, stats, compact and vacuum."""
 
 from __future__ import annotations
 
@@ -40,6 +40,10 @@ def run(engine: Engine, statement: str) -> str:
             name = str(tokenize(words[1])[0].value)
             found = engine.analyze(name) if words[0] == "analyze" or name not in engine.stats else engine.stats[name]
             return "\n".join([f"{found.rows} rows", *[f"{c}: {s.low} to {s.high}, about {s.distinct} distinct" for c, s in found.columns.items()]])
+        if words[:1] == ["compact"] and len(words) == 2:
+            return f"{engine.compact(str(tokenize(words[1])[0].value))} segments merged"
+        if words == ["vacuum"]:
+            return f"{engine.vacuum()} folders deleted"
         return engine.execute(statement).show()
     except EngineError as e:
         return f"error: {e}"

@@ -7,6 +7,7 @@ import time
 
 import pytest
 
+from larkspur import shell
 from larkspur.engine import Engine, total_output
 from larkspur.errors import ExecError, PlanError, TxnAbort
 from larkspur.functions import sketches
@@ -75,7 +76,8 @@ def test_compact_and_vacuum(spark, engine, tmp_path):
         e.compact("Nope")
     with pytest.raises(PlanError):
         e.analyze("Nope")
-    assert e.vacuum() == 0
+    assert shell.run(e, "vacuum;") == "0 folders deleted" and shell.run(e, "compact K;") == "1 segments merged"
+    assert shell.run(e, "compact Nope;").startswith("error")
 
 
 def test_definitions_inside_a_transaction(engine):

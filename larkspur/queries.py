@@ -29,6 +29,10 @@ def engine(spark: SparkSession, sf_dir: str, stored: bool = False) -> Engine:
 _STAR = "lineitem, orders, customer, supplier, nation"
 _STAR_ON = "l_orderkey = o_orderkey and o_custkey = c_custkey and l_suppkey = s_suppkey and s_nationkey = n_nationkey"
 
+#: The whole of part as two polynomials by size, summed by power before they are multiplied.
+_POLY_A = "(select p_size, sum(p_size) from part group by p_size) a(id, a0)"
+_POLY_B = "(select p_size, count(*) from part group by p_size) b(id, a0)"
+
 #: name: (statement of the dialect, ANSI SQL)
 DIALECT: dict[str, tuple[str, str]] = {
     "scan_project": ("select o_orderkey, o_totalprice as price from orders;", "SELECT o_orderkey, o_totalprice AS price FROM orders"),
@@ -82,7 +86,7 @@ DIALECT: dict[str, tuple[str, str]] = {
     "distinct_order": ("select distinct c_mktsegment from customer order by c_mktsegment desc;", "SELECT DISTINCT c_mktsegment FROM customer"),
     "distinct_order_hidden": ("select distinct c_mktsegment from customer order by c_custkey asc limit 3;", "SELECT c_mktsegment FROM (SELECT c_mktsegment, min(c_custkey) AS k FROM customer GROUP BY 1) ORDER BY k LIMIT 3"),
     "contest_rank": ("select a.o_custkey as id, a.s as s, count(*) as above from (select o_custkey, sum(o_orderkey) as s from orders group by o_custkey) a, (select sum(o_orderkey) as s, o_custkey from orders group by o_custkey) b where a.o_custkey % 100 = b.o_custkey % 100 and b.s >= a.s group by a.o_custkey, a.s order by count(*) asc, a.o_custkey asc limit 20;", "WITH t AS (SELECT o_custkey, CAST(sum(o_orderkey) AS BIGINT) AS s FROM orders GROUP BY 1), r AS (SELECT o_custkey AS id, s, CAST(count(*) OVER (PARTITION BY o_custkey % 100 ORDER BY s DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS above FROM t) SELECT * FROM r ORDER BY above, id LIMIT 20"),
-    "poly_two_level": ("select d, sum(v) as s from (select a.p_size + b.p_size as d, count(*) as v from part a, part b where a.p_partkey % 50 = 1 and b.p_partkey % 50 = 2 group by a.p_size, b.p_size) group by d;", "SELECT CAST(a.p_size + b.p_size AS BIGINT) AS d, count(*) AS s FROM part a, part b WHERE a.p_partkey % 50 = 1 AND b.p_partkey % 50 = 2 GROUP BY 1"),
+    "poly_two_level": (f"select id2 as d, sum(val2) as s from (select c.id + b.id, c.val * b.a0 from {_POLY_B}, (select id, sum(val) from (select a.id + b.id, a.a0 * b.a0 from {_POLY_A}, {_POLY_B}) _(id, val) group by id) c(id, val)) _(id2, val2) group by id2;", "WITH a AS (SELECT p_size AS id, sum(p_size) AS v FROM part GROUP BY 1), b AS (SELECT p_size AS id, count(*) AS n FROM part GROUP BY 1) SELECT CAST(a.id + b.id + c.id AS BIGINT) AS d, CAST(sum(a.v * b.n * c.n) AS BIGINT) AS s FROM a, b, b c GROUP BY 1"),
     "job_like_q1": (f"select count(*) as n from {_STAR}, region, part where {_STAR_ON} and n_regionkey = r_regionkey and l_partkey = p_partkey and r_name < 'B' and p_size > 20;", f"SELECT count(*) AS n FROM {_STAR}, region, part WHERE {_STAR_ON} AND n_regionkey = r_regionkey AND l_partkey = p_partkey AND r_name < 'B' AND p_size > 20"),
     "job_like_q2": ("select count(*) as n from customer c, nation n1, supplier s, nation n2, region r where c.c_nationkey = n1.n_nationkey and s.s_nationkey = n2.n_nationkey and n1.n_regionkey = r.r_regionkey and n2.n_regionkey = r.r_regionkey and c.c_acctbal > 5000 and s.s_acctbal < 5000;", "SELECT count(*) AS n FROM customer c, nation n1, supplier s, nation n2, region r WHERE c.c_nationkey = n1.n_nationkey AND s.s_nationkey = n2.n_nationkey AND n1.n_regionkey = r.r_regionkey AND n2.n_regionkey = r.r_regionkey AND c.c_acctbal > 5000 AND s.s_acctbal < 5000"),
     "job_like_q3": ("select count(*) as n, min(e.value) as lo from events e, customer c, nation n where e.user_id = c.c_custkey and c.c_nationkey = n.n_nationkey and e.event_type = 'purchase' and n.n_regionkey < 3;", "SELECT count(*) AS n, min(e.value) AS lo FROM events e, customer c, nation n WHERE e.user_id = c.c_custkey AND c.c_nationkey = n.n_nationkey AND e.event_type = 'purchase' AND n.n_regionkey < 3"),

@@ -85,7 +85,6 @@ DIALECT: dict[str, tuple[str, str]] = {
     "distinct": ("select distinct l_returnflag, l_linestatus from lineitem;", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem"),
     "distinct_order": ("select distinct c_mktsegment from customer order by c_mktsegment desc;", "SELECT DISTINCT c_mktsegment FROM customer"),
     "distinct_order_hidden": ("select distinct c_mktsegment from customer order by c_custkey asc limit 3;", "SELECT c_mktsegment FROM (SELECT c_mktsegment, min(c_custkey) AS k FROM customer GROUP BY 1) ORDER BY k LIMIT 3"),
-    "contest_rank": ("select a.o_custkey as id, a.s as s, count(*) as above from (select o_custkey, sum(o_orderkey) as s from orders group by o_custkey) a, (select sum(o_orderkey) as s, o_custkey from orders group by o_custkey) b where a.o_custkey % 100 = b.o_custkey % 100 and b.s >= a.s group by a.o_custkey, a.s order by count(*) asc, a.o_custkey asc limit 20;", "WITH t AS (SELECT o_custkey, CAST(sum(o_orderkey) AS BIGINT) AS s FROM orders GROUP BY 1), r AS (SELECT o_custkey AS id, s, CAST(count(*) OVER (PARTITION BY o_custkey % 100 ORDER BY s DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS above FROM t) SELECT * FROM r ORDER BY above, id LIMIT 20"),
     "poly_two_level": (f"select id2 as d, sum(val2) as s from (select c.id + b.id, c.val * b.a0 from {_POLY_B}, (select id, sum(val) from (select a.id + b.id, a.a0 * b.a0 from {_POLY_A}, {_POLY_B}) _(id, val) group by id) c(id, val)) _(id2, val2) group by id2;", "WITH a AS (SELECT p_size AS id, sum(p_size) AS v FROM part GROUP BY 1), b AS (SELECT p_size AS id, count(*) AS n FROM part GROUP BY 1) SELECT CAST(a.id + b.id + c.id AS BIGINT) AS d, CAST(sum(a.v * b.n * c.n) AS BIGINT) AS s FROM a, b, b c GROUP BY 1"),
     "job_like_q1": (f"select count(*) as n from {_STAR}, region, part where {_STAR_ON} and n_regionkey = r_regionkey and l_partkey = p_partkey and r_name < 'B' and p_size > 20;", f"SELECT count(*) AS n FROM {_STAR}, region, part WHERE {_STAR_ON} AND n_regionkey = r_regionkey AND l_partkey = p_partkey AND r_name < 'B' AND p_size > 20"),
     "job_like_q2": ("select count(*) as n from customer c, nation n1, supplier s, nation n2, region r where c.c_nationkey = n1.n_nationkey and s.s_nationkey = n2.n_nationkey and n1.n_regionkey = r.r_regionkey and n2.n_regionkey = r.r_regionkey and c.c_acctbal > 5000 and s.s_acctbal < 5000;", "SELECT count(*) AS n FROM customer c, nation n1, supplier s, nation n2, region r WHERE c.c_nationkey = n1.n_nationkey AND s.s_nationkey = n2.n_nationkey AND n1.n_regionkey = r.r_regionkey AND n2.n_regionkey = r.r_regionkey AND c.c_acctbal > 5000 AND s.s_acctbal < 5000"),
@@ -160,6 +159,12 @@ def analyze_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, n long, lo long, hi long")
 
 
+def contest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 customers with the greatest sums, and how many of all customers have at least that sum."""
+    sums = engine(spark, sf_dir).frame("select o_custkey as id, sum(o_orderkey) as s from orders group by o_custkey;")
+    return relational.rank_above(sums, "s", "above").orderBy("above", "id").limit(20)
+
+
 def cms_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Estimated orders of the first customers; never below the true number."""
     sketch = sketches.CountMin(_orders(spark, sf_dir), "o_custkey")
@@ -188,6 +193,7 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "pk_dup_check": (pk_duplicates, "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1"),
     "fk_violation_check": (fk_violations, "SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)"),
     "analyze_stats": (analyze_stats, "SELECT 'o_orderkey' AS name, count(*) AS n, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders UNION ALL SELECT 'o_custkey', count(*), min(o_custkey), max(o_custkey) FROM orders"),
+    "contest_rank": (contest_rank, "WITH t AS (SELECT o_custkey, CAST(sum(o_orderkey) AS BIGINT) AS s FROM orders GROUP BY 1), r AS (SELECT o_custkey AS id, s, CAST(count(*) OVER (ORDER BY s DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS above FROM t) SELECT * FROM r ORDER BY above, id LIMIT 20"),
     "cms_freq": (cms_freq, None),
     "hll_ndv": (hll_ndv, None),
     "bloom_semi": (bloom_semi, None),

@@ -9,17 +9,22 @@ The patterns are rewritten so that a text is scanned in linear time: a match
 starts where a run of its characters starts, or where the last match ended
 (``\\G``), and repeats are possessive (no backtracking, no deep recursion).
 
-Contextual spans.  Every token with a digit or an @ is an instance; the one and
-the two words before it are lexical patterns.  Instances of the base kinds are
-seeds.  Pattern confidence is the mean score of its distinct instances, the
+Contextual spans.  Base spans are seed instances, blanks included; what they
+leave of the text is searched for unknown ones: runs of number groups with one
+blank between them (a lone digit is no group), words around an "(at)", and tokens
+with a digit or an @.  The one and the two words before an instance are lexical
+patterns.  Pattern confidence is the mean score of its distinct instances, the
 score of an unknown instance is the best confidence among its patterns; both
 are recomputed in turn as joins and map-side combined sums over the graph.
 Patterns with high confidence and support finally label the unknown instances
-behind them that have the kind's loose shape.
+behind them that have the kind's loose shape; of a run, the longest beginning
+that has it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,9 +42,11 @@ PATTERNS = {
 }
 #: What a text must hold for a kind to be possible.
 NEEDED = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-INSTANCE = rf"(?<![^{_WS}])[^{_WS}0-9@]*+[0-9@][^{_WS}]*+"
+_GROUP = rf"(?![0-9](?:[{_WS}]|$))[+(]*+[0-9][0-9().+/-]*+(?=[,;:!?\]\"']*+(?:[{_WS}]|$))"
+_AT = r"[(\[][aA][tT][)\]]"
+INSTANCE = rf"(?<![^{_WS}])(?:{_GROUP}(?:\x20{_GROUP})++|[^{_WS}]+?\x20?{_AT}\x20?[^{_WS}]++|[^{_WS}0-9@]*+[0-9@][^{_WS}]*+)"
 #: Loose shapes of what a trusted pattern may label.
-SHAPES = {"email": r"^\S+(@|\(at\)|\[at\])\S+$", "ip": r"^[0-9a-fA-F]{1,4}([.:][0-9a-fA-F]{1,4}){3,7}$", "card": r"^([^0-9]*[0-9]){12,19}[^0-9]*$", "phone": r"^([^0-9]*[0-9]){7,15}[^0-9]*$"}
+SHAPES = {"email": r"^\S+(@| ?\(at\) ?| ?\[at\] ?)\S+$", "ip": r"^[0-9a-fA-F]{1,4}([.:][0-9a-fA-F]{1,4}){3,7}$", "card": r"^([^0-9]*[0-9]){12,19}[^0-9]*$", "phone": r"^([^0-9]*[0-9]){7,15}[^0-9]*$"}
 MASK = {k: f"<{k.upper()}>" for k in KINDS}
 
 
@@ -106,41 +113,54 @@ def _spans(kind: str, found: str) -> Column:
     return F.transform(F.filter(found, lambda x: valid(kind, x["m"])), span)
 
 
+def _seeds(kind: str, found: str) -> Column:
+    return F.transform(F.filter(found, lambda x: valid(kind, x["m"])), lambda x: F.struct(F.lit(kind).alias("seed"), x["m"].alias("m"), x["b"].alias("b")))
+
+
 SPANS = "array<struct<s:bigint,k:int,e:bigint>>"
 
 
-def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``base``: sorted spans (start ``s``, kind number ``k``, end ``e``) of every whole text (null: none)."""
+def base_spans(docs: DataFrame, text: str = "text", seeds: bool = False) -> DataFrame:
+    """``docs`` with ``base``: sorted spans (start ``s``, kind number ``k``, end ``e``) of every whole text (null: none).
+
+    With ``seeds`` also ``seeds``: kind, text and the text before (last 64 characters) of every span.
+    """
     df = docs if text == "text" else docs.withColumn("text", F.col(text))
     for kind in KINDS:
         possible = F.col("text").rlike("[0-9]") if NEEDED[kind] is None else F.contains(F.col("text"), F.lit(NEEDED[kind]))
         df = _located(df, PATTERNS[kind], possible, "_f")
-        df = df.withColumn(f"_{kind}", _spans(kind, "_f")).drop("_f")
+        df = df.withColumn(f"_{kind}", _spans(kind, "_f"))
+        if seeds:
+            df = df.withColumn(f"_of_{kind}", _seeds(kind, "_f"))
+        df = df.drop("_f")
+    if seeds:
+        df = df.withColumn("seeds", F.concat(*[F.col(f"_of_{k}") for k in KINDS])).drop(*[f"_of_{k}" for k in KINDS])
     return df.withColumn("base", F.sort_array(F.concat(*[F.col(f"_{k}") for k in KINDS])).cast(SPANS)).drop(*[f"_{k}" for k in KINDS])
 
 
 def _instances(df: DataFrame) -> DataFrame:
-    """Add ``found``: tokens with a digit or @, their ends, and the text before them (last 64 characters)."""
-    return _located(df, INSTANCE, F.col("text").rlike("[0-9@]"), "found")
+    """Add ``found``: unknown instances beside the base spans, their ends, and the text before them (last 64 characters)."""
+    blank = lambda x, upto: F.repeat(F.lit("\n"), (x["e"] - F.greatest(x["s"], upto)).cast("int"))
+    df = _covered(df.withColumn("_whole", F.col("text")), "base", blank)
+    df = _located(df, INSTANCE, F.col("text").rlike(rf"[0-9@]|{_AT}"), "found")
+    return df.withColumn("text", F.col("_whole")).drop("_whole")
 
 
-def _seed_kind(token: Column) -> Column:
-    """The base kind a whole token is of, else null."""
-    whole = F.lit(None).cast("string")
-    for kind in KINDS:
-        plain = PATTERNS[kind].replace(r"(?:\G|(?<![0-9]))", "").replace(rf"(?:\G|(?<![{_LOCAL}]))", "")
-        whole = F.when(token.rlike(f"^{plain}$") & valid(kind, token), F.lit(kind)).otherwise(whole)
-    return whole
+def _fitting(inst: Column, shape: str) -> Column:
+    """The longest beginning of whole groups that has the shape; every group has a digit, so no shape takes more than 19."""
+    groups = F.slice(F.split(inst, " "), 1, 20)
+    begun = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: F.regexp_replace(F.array_join(F.slice(groups, F.lit(1), n), " "), "[.,;:!?)\\]\"']+$", ""))
+    return F.get(F.filter(begun, lambda x: x.rlike(shape)), F.lit(0))
 
 
 def learned_patterns(rows: DataFrame, scratch: Scratch, support: int = 20, confidence: float = 0.9, rounds: int = 3) -> DataFrame:
-    """Trusted ``(pattern, kind)`` from ``rows(pattern, inst)`` by iterative scoring of the graph.
+    """Trusted ``(pattern, kind)`` from ``rows(pattern, inst, seed)`` (kind of a seed, else null) by iterative scoring of the graph.
 
     A pattern needs ``support`` distinct seeds of the kind, so the graph that
     the rounds work on holds frequent patterns only.
     """
-    edges = rows.groupBy("pattern", "inst").agg(F.count(F.lit(1)).alias("n")).withColumn("seed", _seed_kind(F.col("inst")))
-    edges = scratch.keep(edges.select("pattern", "inst", "seed"))
+    edges = rows.select("pattern", "inst", "seed").distinct()
+    edges = scratch.keep(edges)
     totals = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"), *[F.sum((F.col("seed") == k).cast("int")).alias(k) for k in KINDS])
     enough = F.greatest(*[F.coalesce(F.col(k), F.lit(0)) for k in KINDS])
     frequent = scratch.keep(totals.where(enough >= support).select("pattern", "total"))
@@ -168,44 +188,54 @@ def find_pii(docs: DataFrame, scratch: Scratch, support: int = 20, confidence: f
     handled by row; clashing columns are replaced; an empty table gives an
     empty result.
     """
-    docs = docs.drop("base", "spans", "found", "_rid")
-    rows = _instances(base_spans(docs)).withColumn("_rid", F.monotonically_increasing_id())
+    docs = docs.drop("base", "spans", "found", "seeds", "_rid")
+    rows = _instances(base_spans(docs, seeds=True)).withColumn("_rid", F.monotonically_increasing_id())
     rows = scratch.keep(rows)  # fixes the row numbers
-    left = F.regexp_extract("f.b", rf"([^{_WS}]++)[ \t]*$", 1)
-    two = F.regexp_extract("f.b", rf"([^{_WS}]++[ \t]++[^{_WS}]++)[ \t]*$", 1)
-    each = rows.select("_rid", "base", F.explode("found").alias("f")).select("_rid", "f", F.lower(F.regexp_replace("f.m", "[.,;:!?)\\]\"']+$", "")).alias("inst"), F.array(F.concat(F.lit("1 "), F.lower(left)), F.concat(F.lit("2 "), F.lower(F.regexp_replace(two, "[ \t]+", " ")))).alias("ps"))
-    named = each.select("_rid", "f", "inst", F.explode("ps").alias("pattern")).where("length(pattern) > 3 and not pattern rlike '[0-9@]{2}'")
-    trusted = learned_patterns(named.select("pattern", "inst"), scratch, support, confidence, rounds)
-    shape = F.lit(False)
-    for kind, loose in SHAPES.items():
-        shape = shape | ((F.col("kind") == kind) & F.col("inst").rlike(loose))
-    number = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(KINDS)])
-    new = named.join(trusted, "pattern").where(_seed_kind(F.col("inst")).isNull() & shape)
-    start = F.col("f.e") - F.length("f.m")
-    added = new.select("_rid", F.struct(start.alias("s"), number.alias("k"), (start + F.length("inst")).alias("e")).alias("x")).groupBy("_rid").agg(F.collect_set("x").alias("added"))
-    both = rows.drop("found").join(added, "_rid", "left")
-    beside = F.filter(F.coalesce("added", F.array().cast(SPANS)), lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
-    return both.withColumn("spans", F.coalesce(F.when(F.size("added") > 0, F.sort_array(F.concat("base", beside))), F.col("base"))).drop("added", "_rid")
+    unknown = rows.select("_rid", F.explode("found").alias("f")).select("_rid", "f.m", "f.b", "f.e", F.lit(None).cast("string").alias("seed"))
+    known = rows.select("_rid", F.explode("seeds").alias("f")).select("_rid", "f.m", "f.b", F.lit(None).cast("long").alias("e"), "f.seed")
 
+    def named(each: DataFrame) -> DataFrame:
+        left = F.regexp_extract("b", rf"([^{_WS}]++)[ \t]*$", 1)
+        two = F.regexp_extract("b", rf"([^{_WS}]++[ \t]++[^{_WS}]++)[ \t]*$", 1)
+        inst = F.lower(F.regexp_replace("m", "[.,;:!?)\\]\"']+$", ""))
+        ps = F.array(F.concat(F.lit("1 "), F.lower(left)), F.concat(F.lit("2 "), F.lower(F.regexp_replace(two, "[ \t]+", " "))))
+        return each.select("_rid", "m", "e", "seed", inst.alias("inst"), F.explode(ps).alias("pattern")).where("length(pattern) > 3 and not pattern rlike '[0-9@]{2}'")
 
-def mask_pii(found: DataFrame) -> DataFrame:
-    """Replace every span of ``found(text, spans, ..)`` in ``text`` by its kind's mask; overlapping spans share one."""
-    some = F.size("spans") > 0
-    df = found.withColumn("_ends", F.transform("spans", lambda x: x["e"]))
+    trusted = learned_patterns(named(unknown.unionByName(known)), scratch, support, confidence, rounds)
+    number = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(KINDS)])
+    fits = F.when(F.col("kind") == "email", F.when(F.col("inst").rlike(SHAPES["email"]), F.col("inst")))
+    for kind in KINDS[1:]:
+        fits = fits.when(F.col("kind") == kind, _fitting(F.col("inst"), SHAPES[kind]))
+    new = named(unknown).join(trusted, "pattern").withColumn("fit", fits).where("fit is not null")
+    start = F.col("e") - F.length("m")
+    added = new.select("_rid", F.struct(start.alias("s"), number.alias("k"), (start + F.length("fit")).alias("e")).alias("x")).groupBy("_rid").agg(F.collect_set("x").alias("added"))
+    both = rows.drop("found", "seeds").join(added, "_rid", "left")
+    return both.withColumn("spans", F.coalesce(F.when(F.size("added") > 0, F.sort_array(F.concat("base", "added"))), F.col("base"))).drop("added", "_rid")
+
+
+def _covered(df: DataFrame, spans: str, cover: Callable[[Column, Column], Column]) -> DataFrame:
+    """``df`` with every one of ``spans`` in ``text`` replaced by ``cover(span, end of those before it)``, which sees the rest of an overlap only."""
+    some = F.size(spans) > 0
+    df = df.withColumn("_ends", F.transform(spans, lambda x: x["e"]))
     df = with_scan(df, "_ends", "_max", "max").withColumn("_c", F.when(some, F.split("text", "")))
-    masks = F.array(*[F.lit(MASK[k]) for k in KINDS])
 
     def before(x: Column, i: Column) -> Column:
         upto = F.coalesce(F.get("_max", i - 1), F.lit(0))
         gap = F.array_join(F.slice("_c", (upto + 1).cast("int"), F.greatest(x["s"] - upto, F.lit(0)).cast("int")), "")
-        return F.concat(gap, F.when(x["e"] > upto, F.when(x["s"] >= upto, F.get(masks, x["k"])).otherwise(F.lit(""))).otherwise(F.lit("")))
+        return F.concat(gap, F.when(x["e"] > upto, cover(x, upto)).otherwise(F.lit("")))
 
     last = F.element_at("_max", -1)
     tail = F.array_join(F.slice("_c", (last + 1).cast("int"), F.greatest(F.size("_c") - last, F.lit(0)).cast("int")), "")
-    made = F.concat(F.array_join(F.transform("spans", before), ""), tail)
+    made = F.concat(F.array_join(F.transform(spans, before), ""), tail)
     return df.withColumn("text", F.when(some, made).otherwise(F.col("text"))).drop("_ends", "_max", "_c")
 
 
+def mask_pii(found: DataFrame) -> DataFrame:
+    """Replace every span of ``found(text, spans, ..)`` in ``text`` by its kind's mask; overlapping spans share one."""
+    masks = F.array(*[F.lit(MASK[k]) for k in KINDS])
+    return _covered(found, "spans", lambda x, upto: F.when(x["s"] >= upto, F.get(masks, x["k"])).otherwise(F.lit("")))
+
+
 def _of_kind(spans: str, number: int) -> Column:
     return F.filter(spans, lambda x: x["k"] == number)
 

@@ -34,8 +34,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn by the rates that bring the domains to their target weights."""
-    rated = mixing.mixing_rates(docs, read_table(spark, sf_dir, "labels"), scratch=Scratch(spark, "pipeline-mix"))
+    """Documents are drawn by the chances that bring the domains to their target weights; from 0.8 on they stay, and the others make up for it."""
+    rated = mixing.mixing_rates(docs, read_table(spark, sf_dir, "labels"), scratch=Scratch(spark, "pipeline-mix"), sure=0.8)
     return mixing.sampled(rated).select(*docs.columns)
 
 

@@ -150,12 +150,16 @@ def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
     return rest.withColumn("_m", run(F.col("text"))).select(*rest.columns, "_m.n_tokens", "_m.p")
 
 
-def rates_of(p: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """Rates after the projected steps: w <- max(0, w - p . step), from w = 1."""
+def rates_of(p: np.ndarray, steps: np.ndarray, sure: float | None = None) -> np.ndarray:
+    """Rates after the projected steps: w <- max(0, w - p . step), from w = 1.
+
+    With ``sure`` they are chances: w is held to 1 at most, and one of at least
+    ``sure`` counts as 1.
+    """
     w = np.ones(len(p))
     for s in steps:
-        w = np.maximum(0.0, w - p @ s)
-    return w
+        w = np.clip(w - p @ s, 0.0, None if sure is None else 1.0)
+    return w if sure is None else np.where(w >= sure, 1.0, w)
 
 
 def step_of(residual: np.ndarray, gram: np.ndarray, scaled: bool) -> np.ndarray:
@@ -165,12 +169,16 @@ def step_of(residual: np.ndarray, gram: np.ndarray, scaled: bool) -> np.ndarray:
     return residual / np.linalg.eigvalsh(gram)[-1]
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, rounds: int = 60, tolerance: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit_rates(members: DataFrame, targets: np.ndarray, rounds: int = 60, tolerance: float = 1e-4, sure: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Steps of the projected gradient that meet the target tokens per domain, and the totals they reach.
 
     ``members`` has ``n_tokens`` and ``p``.  A pass sums the domain totals of the
     present rates and the Gram matrix of the documents whose rate is not at its
     bound; the step is the gradient over that matrix's largest eigenvalue.
+
+    With ``sure`` the rates are chances (see ``rates_of``), and the totals are
+    those of the chances.  As no document can count more than once, the targets
+    then give proportions, scaled to the total the first domain has at present.
     """
     k = len(targets)
     steps = np.zeros((0, k))
@@ -181,7 +189,7 @@ def fit_rates(members: DataFrame, targets: np.ndarray, rounds: int = 60, toleran
             for b in batches:
                 p = np.stack(list(b["p"])) if len(b) else np.zeros((0, k))
                 n = b["n_tokens"].to_numpy(dtype=float)
-                w = rates_of(p, steps)
+                w = rates_of(p, steps, sure)
                 total += (w * n) @ p
                 gram += (p * (n * (w > 0))[:, None]).T @ p
             yield pd.DataFrame({"k": np.arange(k + k * k), "v": np.concatenate([total, gram.ravel()])})
@@ -192,25 +200,29 @@ def fit_rates(members: DataFrame, targets: np.ndarray, rounds: int = 60, toleran
             v[r["k"]] = r["v"]
         return v[:k], v[k:].reshape(k, k)
 
+    def missed(total: np.ndarray) -> np.ndarray:
+        return total - (targets if sure is None else targets * (total[0] / max(targets[0], 1e-9)))
+
     total, gram = sums(steps)
     scale, scaled = max(float(targets.sum()), 1.0), True
     for _ in range(rounds):
-        residual = total - targets
+        residual = missed(total)
         if np.abs(residual).max() <= tolerance * scale or not gram.any():
             break
         new = np.vstack([steps, step_of(residual, gram, scaled)])
         found = sums(new)
-        if scaled and np.linalg.norm(found[0] - targets) >= np.linalg.norm(residual):
+        if scaled and np.linalg.norm(missed(found[0])) >= np.linalg.norm(residual):
             scaled = False  # the bounds change too much for the scaled step
             continue
         steps, (total, gram) = new, found
     return steps, total
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, scratch: Scratch | None = None, per_class: int = 1_500, rounds: int = 60, without: tuple[str, ...] = ()) -> DataFrame:
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, scratch: Scratch | None = None, per_class: int = 1_500, rounds: int = 60, without: tuple[str, ...] = (), sure: float | None = None) -> DataFrame:
     """``docs`` with ``n_tokens``, ``p`` (posteriors of ``DOMAINS``) and ``rate`` (>= 0).
 
-    ``without`` names columns the result need not carry.  ``targets`` are shares per domain; the token budget is what the domain
+    ``without`` names columns the result need not carry; with ``sure`` the rates
+    are chances of one draw, 1 from ``sure`` on.  ``targets`` are shares per domain; the token budget is what the domain
     present in the greatest relative supply allows without repeating documents
     of the first domain: its target equals its expected tokens.  Null and empty
     texts have no tokens and keep rate by their prior; without labels all
@@ -224,23 +236,23 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     have = members.agg(*[F.sum(F.col("n_tokens") * F.get("p", F.lit(i))).alias(f"t{i}") for i in range(len(DOMAINS))]).first()
     supply = np.array([have[i] or 0.0 for i in range(len(DOMAINS))])
     goal = shares / shares.sum() * supply[0] / max(shares[0] / shares.sum(), 1e-9)
-    steps, _ = fit_rates(members, goal, rounds)
+    steps, _ = fit_rates(members, goal, rounds, sure=sure)
 
     @F.pandas_udf("double")
     def rate(p: pd.Series) -> pd.Series:
-        return pd.Series(rates_of(np.stack(list(p)), steps) if len(p) else [], dtype="float64")
+        return pd.Series(rates_of(np.stack(list(p)), steps, sure) if len(p) else [], dtype="float64")
 
     return members.withColumn("rate", rate(F.col("p")))
 
 
-def sampled(rated: DataFrame, key: str = "doc_id", slack: float = 0.2) -> DataFrame:
-    """Documents drawn once each by their rate; a rate within ``slack`` of one (or more) is sure to stay.
+def sampled(rated: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Documents drawn once each with their rate as chance; a rate of one (or more) is sure to stay.
 
     The draw is a hash of the key, so a retried task draws the same; a null key
     has one draw for all.
     """
     draw = F.pmod(F.xxhash64(key, F.lit("mix")), F.lit(1_000_000_000)) / F.lit(1e9)
-    return rated.where(F.col("rate") >= draw * (1 - slack))
+    return rated.where(F.col("rate") > draw)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

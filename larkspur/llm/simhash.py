@@ -28,7 +28,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, read_table
@@ -57,14 +57,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return value - (1 << BITS) if value >> (BITS - 1) else value
 
 
+def _names() -> tuple[Column, Column]:
+    """Two hashes of a row's id and text."""
+    return F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "text", "doc_id")
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)`` of every row, by whole text."""
+    """``(doc_id, fp, k1, k2)`` of every row, by whole text."""
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t) for t in texts], dtype="int64")
 
-    return docs.select("doc_id", of(F.col("text")).alias("fp"))
+    return docs.select("doc_id", of(F.col("text")).alias("fp"), *[h.alias(n) for n, h in zip(("k1", "k2"), _names(), strict=True)])
 
 
 def bit_counts(classes: DataFrame) -> tuple[int, np.ndarray]:
@@ -165,15 +170,15 @@ def _signed(x: int) -> int:
 def _keys(classes: DataFrame, probes: list[tuple[int, int, int]]) -> DataFrame:
     """One row per class and (partition, and-mask, xor-mask)."""
     masks = F.array(*[F.struct(F.lit(p).cast("tinyint").alias("p"), F.lit(a).cast("long").alias("a"), F.lit(x).cast("long").alias("x")) for p, a, x in probes])
-    rows = classes.select("rep", "fp", F.explode(masks).alias("m"))
-    return rows.select("rep", "fp", F.col("m.p").alias("p"), F.col("fp").bitwiseAND(F.col("m.a")).bitwiseXOR(F.col("m.x")).alias("val"))
+    rows = classes.select("fp", F.explode(masks).alias("m"))
+    return rows.select("fp", F.col("m.p").alias("p"), F.col("fp").bitwiseAND(F.col("m.a")).bitwiseXOR(F.col("m.x")).alias("val"))
 
 
 def links(classes: DataFrame, scratch: Scratch, tau: int = 2, bucket: int = 16) -> DataFrame:
-    """Edges ``(a, b)`` between class representatives that connect all classes within ``tau`` bits.
+    """Edges ``(a, b)`` between fingerprints that connect all of them within ``tau`` bits.
 
-    ``classes`` has a distinct ``fp`` and its ``rep`` per row.  Rare values give
-    every verified pair; shared ones give stars that connect the same classes.
+    ``classes`` has a distinct ``fp`` per row.  Rare values give every verified
+    pair; shared ones give stars that connect the same fingerprints.
     """
     if tau < 0 or tau % 2:
         raise ValueError("tau must be even and not negative")
@@ -188,31 +193,53 @@ def links(classes: DataFrame, scratch: Scratch, tau: int = 2, bucket: int = 16)
     hot = scratch.keep(probed.groupBy("p", "val").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("p", "val"))
     some_hot = not hot.isEmpty()
     cold_i, cold_p = (x.join(hot, ["p", "val"], "left_anti") for x in (indexed, probed)) if some_hot else (indexed, probed)
-    pairs = cold_i.select("p", "val", F.col("rep").alias("a"), F.col("fp").alias("fa")).join(cold_p.select("p", "val", F.col("rep").alias("b"), F.col("fp").alias("fb")), ["p", "val"])
-    edges = pairs.where((F.col("fa") < F.col("fb")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= tau)).select("a", "b")
+    pairs = cold_i.select("p", "val", F.col("fp").alias("a")).join(cold_p.select("p", "val", F.col("fp").alias("b")), ["p", "val"])
+    edges = pairs.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= tau)).select("a", "b")
     if not some_hot:
         return edges
-    members = indexed.unionByName(probed).join(hot, ["p", "val"], "left_semi").select("rep", "fp").distinct()
+    members = indexed.unionByName(probed).join(hot, ["p", "val"], "left_semi").select("fp").distinct()
     ball = [(0, -1, _signed(sum(1 << i for i in flip))) for t in range(tau // 2 + 1) for flip in combinations(range(BITS), t)]
-    met = _keys(members, ball).groupBy("val").agg(F.sort_array(F.collect_list("rep")).alias("reps")).where(F.size("reps") > 1)
-    return edges.unionByName(met.select(F.col("reps")[0].alias("a"), F.explode(F.slice("reps", 2, F.size("reps"))).alias("b")))
+    met = _keys(members, ball).groupBy("val").agg(F.sort_array(F.collect_list("fp")).alias("fps")).where(F.size("fps") > 1)
+    return edges.unionByName(met.select(F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, F.size("fps"))).alias("b")))
+
+
+def _labelled(docs: DataFrame, scratch: Scratch, tau: int, bucket: int) -> DataFrame:
+    """``doc_id, k1, k2, fp, component_id, component``: the last is the smallest fingerprint of the group, 128 bits of hash name id and text.
+
+    The search links fingerprints and not ids, so rows that share an id are in
+    one group only if their texts link them.
+    """
+    rows = scratch.keep(fingerprints(docs))
+    classes = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    labels = scratch.keep(connected_components(links(classes.select("fp"), scratch, tau, bucket), scratch))
+    named = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return rows.join(named.select("fp", "component").join(least, "component"), "fp")
 
 
 def simhash_dedup(docs: DataFrame, tau: int = 2, bucket: int = 16) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row of ``docs(doc_id, text, ..)``.
 
     Null texts count as empty; texts without words share fingerprint zero.  A
-    null doc_id is labelled with its class but bridges nothing by itself.
+    row with a null doc_id links like any other; a group of such rows alone has
+    a null component_id.  Rows that share a doc_id are rows of their own.
     Repeated rows stay.  An empty table gives an empty result; other columns
     are ignored.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash")
-    fps = scratch.keep(fingerprints(docs))
-    classes = scratch.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    labels = scratch.keep(connected_components(links(classes, scratch, tau, bucket), scratch))
-    named = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = _labelled(docs, Scratch(docs.sparkSession, "simhash"), tau, bucket)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def unique_documents(docs: DataFrame, tau: int = 2, bucket: int = 16) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group: the one with the smallest doc_id (the smallest hash where that id repeats).
+
+    A row without an id stays only where its whole group has none.  Nothing
+    else is compared by id, so texts that share one and do not link all stay.
+    """
+    rows = _labelled(docs, Scratch(docs.sparkSession, "simhash"), tau, bucket)
+    chosen = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("k1").alias("_k1")).select("_k1")
+    named = docs.select("*", *[h.alias(f"_{n}") for n, h in zip(("k1", "k2"), _names(), strict=True)])
+    return named.join(chosen, "_k1", "left_semi").dropDuplicates(["_k1", "_k2"]).select(*docs.columns)
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

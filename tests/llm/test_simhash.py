@@ -71,10 +71,14 @@ def test_links_equal_brute_force(spark, bucket):
             centre = v if rng.random() < 0.1 else centre
     values |= {0, 1, 3, (1 << 64) - 1}
     rows = list(enumerate(sorted(values)))
-    df = spark.createDataFrame([(i, simhash._signed(v)) for i, v in rows], "rep long, fp long")
+    df = spark.createDataFrame([(simhash._signed(v),) for _, v in rows], "fp long")
     scratch = Scratch(spark, "t")
     edges = simhash.links(df, scratch, 2, bucket)
-    got = {r.node: r.component for r in connected_components(edges, scratch).collect()}
+    found = {r.node: r.component for r in connected_components(edges, scratch).collect()}
+    place = {}
+    for i, v in rows:  # a group is named by its smallest signed value
+        place.setdefault(found.get(simhash._signed(v), simhash._signed(v)), i)
+    got = {i: place[found.get(simhash._signed(v), simhash._signed(v))] for i, v in rows}
     want = components_of([i for i, _ in rows], [(i, j) for (i, a), (j, b) in combinations(rows, 2) if (a ^ b).bit_count() <= 2])
     assert {i: got.get(i, i) for i, _ in rows} == want
 
@@ -106,3 +110,19 @@ def test_dedup_rows(spark):
             assert r.component_id == want[r.doc_id]
     assert {r.component_id for r in got if r.doc_id is None} == {want[1], want[9001]}
     assert simhash.simhash_dedup(df.limit(0)).count() == 0
+
+
+def test_ids_that_repeat_with_other_texts(spark):
+    """Rows that share an id are compared by their texts alone; clashing columns are kept as they are."""
+    rng = random.Random(2)
+    a, b = (" ".join(rng.choices([f"w{i}" for i in range(300)], k=200)) for _ in range(2))
+    rows = [(1, a, "p", "q"), (1, b, "p", "q"), (2, "x " + b, "p", "q"), (3, a, "p", "q"), (None, a, "p", "q"), (None, "only " * 9, "p", "q"), (None, "only " * 9, "p", "r"), (1, a, "p", "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string, component_id string")
+    assert (simhash.fingerprint(b) ^ simhash.fingerprint("x " + b)).bit_count() <= 2
+    left = simhash.unique_documents(df)
+    assert left.columns == df.columns
+    assert sorted((r.doc_id or -1, r.text, r.component_id) for r in left.collect())[1:] == sorted([(1, a, "q"), (1, b, "q")])
+    assert left.where("doc_id is null").count() == 1
+    got = simhash.simhash_dedup(df).collect()
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (-1, 1), (-1, -1), (-1, -1), (1, 1)])
+    assert simhash.unique_documents(df.limit(0)).count() == 0

@@ -20,11 +20,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-duplicates the document with the smallest id stays; those without an id stay."""
-    groups = simhash.simhash_dedup(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Of every group of near-duplicates the document with the smallest id stays.
+
+    Rows that share an id are compared by their texts, so none is lost that is
+    linked to nothing that stays; a group without any id keeps one row.
+    """
+    return simhash.unique_documents(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

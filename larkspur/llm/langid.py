@@ -2,23 +2,29 @@
 
 A suffix automaton over each language's labelled text yields, from any place of
 a new text, the longest match in that language; parsing the text greedily into
-such matches gives its phrases.  The fewer phrases per character, the lower the
+such matches gives its phrases.  The fewer phrases per byte, the lower the
 cross entropy: the language with the fewest normalised phrases wins.
 
-The automata become one dense transition table in which a failing step already
-leads to where the next phrase starts and says so in a flag.  All texts of a
-batch are then parsed in step, one table lookup per character and language.
-Long texts are parsed in blocks of ``BLOCK`` characters side by side (a block
-starts a phrase of its own).
-
-Training reads a bounded hash sample: ``per_lang`` passages of ``PIECE``
-characters a language, at most ``CHARS`` characters a language and ``TOTAL``
-over all languages; its size fixes the table's.
+Texts are parsed as UTF-8, lower-cased, a run of anything but letters as one
+blank: the alphabet is that of bytes whatever letters a language has.  The
+automata are packed into one table by displaced rows: the transition of state
+``s`` on byte ``c`` lies at ``s + c`` and names its owner, so the table grows
+with the transitions and not with states times bytes.  A step that finds a
+foreign owner ends the phrase.  All texts of a batch are parsed in step, one
+lookup per byte and language.
+
+Long texts are parsed in blocks of ``BLOCK`` bytes side by side.  Each starts
+in the state that parsing the ``LEAD`` bytes before it gives; blocks whose start
+is not the state their predecessor ends in are parsed again until all agree, so
+the phrases are those of one parse of the whole text.
+
+Training reads a bounded hash sample: of every language about ``per_lang``
+passages of ``passage`` characters, at most ``chars`` characters together.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 
 import numpy as np
 import pandas as pd
@@ -28,39 +34,32 @@ from pyspark.sql import functions as F
 from .common import read_table
 from .sampling import class_sample, kept_out, piece
 
-PIECE = 600
-CHARS = 40_000
-TOTAL = 1_000_000
-LETTERS = 60
 BLOCK = 1_024
+LEAD = 64
 SLICE = 2_000_000
-RESTART = 1 << 30
 UNKNOWN = "und"
+_LONE = re.compile("[\ud800-\udfff]")
+_LETTER: list[np.ndarray] = []
 
 
-class Coder:
-    """Maps texts to small codes: 0 for a run of anything but letters, then letters, then all other letters."""
-
-    def __init__(self, letters: str):
-        self.letters, self.size = letters, len(letters) + 2
-        # A surrogate pair never occurs in a str, so code points index the table.
-        self.table = np.zeros(0x110000, dtype=np.uint8)
-        self.table[np.fromiter((c for c in range(0x110000) if chr(c).isalpha()), dtype=np.int64)] = self.size - 1
-        for k, c in enumerate(letters):
-            self.table[ord(c)] = k + 1
+def normalised(text: str) -> tuple[np.ndarray, bool]:
+    """The bytes that are parsed, and whether there is a letter among them."""
+    if not _LETTER:  # by code point; made once a process
+        _LETTER.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000))
+    points = np.frombuffer(_LONE.sub(" ", text.lower()).encode("utf-32-le"), dtype=np.uint32)
+    letter = _LETTER[0][points]
+    keep = letter.copy()
+    keep[:1] = True
+    keep[1:] |= letter[:-1]
+    kept = np.where(letter, points, 32)[keep].astype(np.uint32)
+    return np.frombuffer(kept.tobytes().decode("utf-32-le").encode(), dtype=np.uint8), bool(letter.any())
 
-    def encode(self, text: str) -> np.ndarray:
-        codes = self.table[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-        keep = np.ones(len(codes), dtype=bool)
-        keep[1:] = (codes[1:] > 0) | (codes[:-1] > 0)
-        return codes[keep]
 
-
-def automaton(codes: np.ndarray, size: int) -> np.ndarray:
-    """Dense transitions of the suffix automaton of ``codes``; -1 where there is none."""
+def automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton of ``codes``, state by state; 0 is the root."""
     link, length, step = [-1], [0], [{}]
     last = 0
-    for c in codes.tolist():
+    for c in codes:
         new = len(step)
         link.append(0)
         length.append(length[last] + 1)
@@ -83,11 +82,42 @@ def automaton(codes: np.ndarray, size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    dense = np.full((len(step), size), -1, dtype=np.int32)
-    for s, row in enumerate(step):
-        if row:
-            dense[s, list(row)] = list(row.values())
-    return dense
+    return step
+
+
+def packed(step: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(owner, target, first)`` of an automaton whose states are renamed to the places of their rows.
+
+    ``target[s + c]`` holds for ``s`` if ``owner[s + c] == s``.  The root has no
+    row: ``first[c]`` is where a phrase that starts with ``c`` leads to, 0 (the
+    root) if none does.  Rows go to the first place that is free for all of
+    their bytes, the longest first; no two have the same place.
+    """
+    width = max(256, 2 * sum(map(len, step)) + len(step) + 512)
+    free, unused = (1 << width) - 1, (1 << width) - 2  # bit sets of slots, and of places (0 is the root's)
+    place = [0] * len(step)
+    order = sorted(range(1, len(step)), key=lambda s: -len(step[s]))
+    low = 0  # no place below is unused, no slot below free
+    for s in order:
+        able = unused >> low
+        for c in step[s]:
+            able &= free >> (low + c)
+        at = low + (able & -able).bit_length() - 1
+        place[s] = at
+        unused ^= 1 << at
+        for c in step[s]:
+            free ^= 1 << (at + c)
+        if not s & 255:
+            low = max(0, min((unused & -unused).bit_length() - 1, (free & -free).bit_length() - 256))
+    size = max(place, default=0) + 256
+    owner, target = np.full(size, -1, dtype=np.int32), np.zeros(size, dtype=np.int32)
+    for s in order:
+        for c, t in step[s].items():
+            owner[place[s] + c], target[place[s] + c] = place[s], place[t]
+    first = np.zeros(256, dtype=np.int32)
+    for c, t in step[0].items():
+        first[c] = place[t]
+    return owner, target, first
 
 
 class CrossParser:
@@ -95,55 +125,54 @@ class CrossParser:
 
     def __init__(self, training: dict[str, str]):
         self.langs = sorted(training)
-        seen = Counter(c for t in training.values() for c in t.lower() if c.isalpha())
-        self.letters = "".join(sorted(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]))
-        coder = Coder(self.letters)
-        tables, self.roots = [], []
-        at = 0
-        for lang in self.langs:
-            codes = coder.encode(training[lang])
-            dense = automaton(codes[codes < coder.size - 1], coder.size)
-            root = dense[0].copy()
-            again = np.where(root >= 0, root + at, at) | RESTART
-            dense = np.where(dense >= 0, dense + at, again[None, :]).astype(np.int32)
-            dense[0] = again  # a phrase starts at the root
-            tables.append(dense)
-            self.roots.append(at)
-            at += len(dense)
-        self.table = np.concatenate(tables).ravel() if tables else np.empty(0, dtype=np.int32)
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "coder"}
-
-    def prepare(self) -> CrossParser:
-        if "coder" not in self.__dict__:
-            self.coder = Coder(self.letters)
-        return self
+        found = [packed(automaton(normalised(training[lang])[0].tolist())) for lang in self.langs]
+        sizes = [len(owner) for owner, _, _ in found]
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64)
+        # States are counted through all languages; a language's root is its start, which owns nothing.
+        self.owner = np.concatenate([np.where(o >= 0, o + b, -1) for (o, _, _), b in zip(found, self.starts, strict=True)] or [np.zeros(0)]).astype(np.int32)
+        self.target = np.concatenate([t + b for (_, t, _), b in zip(found, self.starts, strict=True)] or [np.zeros(0)]).astype(np.int32)
+        self.first = np.stack([f + b for (_, _, f), b in zip(found, self.starts, strict=True)] or [np.zeros(256)]).astype(np.int32)
+
+    def _run(self, lanes: list[np.ndarray], state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases begun, last state) of every lane and language, from ``state[lane, language]``."""
+        length = np.array([len(x) for x in lanes], dtype=np.int64)
+        order = np.argsort(-length, kind="stable")
+        grid = np.zeros((int(length.max(initial=0)), len(lanes)), dtype=np.int32)
+        for lane, k in enumerate(order):
+            grid[: length[k], lane] = lanes[k]
+        live = np.searchsorted(-length[order], -np.arange(1, len(grid) + 1), side="right")
+        now = np.ascontiguousarray(state[order].T)
+        count = np.zeros_like(now)
+        for k, n in enumerate(live):
+            codes, here = grid[k, :n], now[:, :n]
+            at = here + codes
+            goes = self.owner[at] == here
+            count[:, :n] += ~goes
+            now[:, :n] = np.where(goes, self.target[at], self.first[:, codes])
+        phrases, last = np.empty_like(state), np.empty_like(state)
+        phrases[order], last[order] = count.T, now.T
+        return phrases, last
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(phrases by text and language, codes by text, whether the text has a letter)."""
-        coded = [self.coder.encode(t) for t in texts]
-        size = np.array([len(c) for c in coded], dtype=np.int64)
-        letter = np.array([bool((c > 0).any()) for c in coded], dtype=bool)
+        """(phrases by text and language, bytes by text, whether the text has a letter)."""
+        coded = [normalised(t) for t in texts]
+        size = np.array([len(c) for c, _ in coded], dtype=np.int64)
+        letter = np.array([has for _, has in coded], dtype=bool)
         total = np.zeros((len(texts), len(self.langs)), dtype=np.int64)
         if not self.langs or not size.sum():
             return total, size, letter
         owner = np.repeat(np.arange(len(texts)), -(-size // BLOCK))
-        blocks = [c[i : i + BLOCK] for c in coded for i in range(0, len(c), BLOCK)]
-        length = np.array([len(b) for b in blocks], dtype=np.int64)
-        order = np.argsort(-length, kind="stable")
-        lanes = np.zeros((int(length.max()), len(blocks)), dtype=np.int32)
-        for lane, k in enumerate(order):
-            lanes[: length[k], lane] = blocks[k]
-        live = np.searchsorted(-length[order], -np.arange(1, len(lanes) + 1), side="right")
-        state = np.repeat(np.array(self.roots, dtype=np.int32)[:, None], len(blocks), axis=1)
-        count = np.zeros_like(state)
-        width = np.int32(self.coder.size)
-        for k, n in enumerate(live):
-            step = self.table[state[:, :n] * width + lanes[k, :n]]
-            count[:, :n] += step >> 30
-            state[:, :n] = step & (RESTART - 1)
-        np.add.at(total, owner[order], count.T)
+        blocks = [c[i : i + BLOCK] for c, _ in coded for i in range(0, len(c), BLOCK)]
+        follows = np.concatenate([[False], owner[1:] == owner[:-1]])
+        start = np.repeat(self.starts[None, :].astype(np.int32), len(blocks), axis=0)
+        later = np.flatnonzero(follows)
+        if len(later):
+            start[later] = self._run([blocks[k - 1][-LEAD:] for k in later], start[later])[1]
+        count, last = self._run(blocks, start)
+        while len(wrong := later[(start[later] != last[later - 1]).any(axis=1)]):
+            start[wrong] = last[wrong - 1]
+            count[wrong], last[wrong] = self._run([blocks[k] for k in wrong], start[wrong])
+        np.add.at(total, owner, count)
         return total, size, letter
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -170,39 +199,39 @@ class CrossParser:
         return [self.langs[b] if ok else UNKNOWN for b, ok in zip(best, letter, strict=True)], np.where(letter, score, 0.0)
 
 
-def fit(docs: DataFrame, per_lang: int = 80, langs: int = 100) -> CrossParser:
-    """Automata of the ``langs`` most frequent languages of ``docs(doc_id, text, lang)``, from a bounded sample."""
+def fit(docs: DataFrame, per_lang: int = 80, passage: int = 600, chars: int = 40_000) -> CrossParser:
+    """Automata of all languages of ``docs(doc_id, text, lang)``, each from a bounded sample of its texts."""
     rows = docs.select("doc_id", "text", "lang").where("text is not null")
-    picked, counts = class_sample(rows, "lang", "doc_id", per_lang, langs)
-    some = picked.select("lang", piece(F.col("text"), F.col("doc_id"), PIECE).alias("t"), F.xxhash64("doc_id", F.lit("order")).alias("h")).distinct()
+    picked, counts = class_sample(rows, "lang", "doc_id", per_lang)
+    some = picked.select("lang", piece(F.col("text"), F.col("doc_id"), passage).alias("t"), F.xxhash64("doc_id", F.lit("order")).alias("h")).distinct()
     sample = some.orderBy("h", "lang", "t").limit(2 * per_lang * max(len(counts), 1)).collect()
-    limit = min(CHARS, TOTAL // max(len(counts), 1))
     training: dict[str, str] = {}
     for r in sample:
-        if len(training.get(r["lang"], "")) < limit:
-            training[r["lang"]] = (training.get(r["lang"], "") + " " + r["t"])[:limit]
+        if len(training.get(r["lang"], "")) < chars:
+            training[r["lang"]] = (training.get(r["lang"], "") + " " + r["t"])[:chars]
     return CrossParser({k: t for k, t in training.items() if any(c.isalpha() for c in t)})
 
 
-def identify(docs: DataFrame, folds: int = 4, fold: int = 2, per_lang: int = 80) -> DataFrame:
+def identify(docs: DataFrame, folds: int = 4, fold: int = 2, per_lang: int = 80, passage: int = 600, chars: int = 40_000) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` of every whole text (clashing columns are replaced).
 
-    A text that is null or has no letter gets ``und`` and score 0, as does
-    every text if nothing can be learned.  Ties go to the first language by
-    name.  Repeated rows and nulls in other columns pass through; an empty
-    table gives an empty result.
+    Learns every language that a row outside the held-out fold names, from
+    about ``per_lang`` passages of ``passage`` characters each and at most
+    ``chars`` characters (about 2 MB of tables a language).  A text that is null or has no letter
+    gets ``und`` and score 0, as does every text if nothing can be learned.
+    Ties go to the first language by name.  Repeated rows and nulls in other
+    columns pass through; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     learn = docs.where(F.col("doc_id").isNotNull() & ~kept_out(F.col("doc_id"), folds, fold))
-    model = spark.sparkContext.broadcast(fit(learn, per_lang))
+    model = spark.sparkContext.broadcast(fit(learn, per_lang, passage, chars))
 
     @F.pandas_udf("lang_pred string, score double")
     def run(texts: pd.Series) -> pd.DataFrame:
-        parser = model.value.prepare()
-        langs, scores = parser.predict([t for t in texts])
+        langs, scores = model.value.predict([t for t in texts])
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    rest = docs.drop("lang_pred", "score")
+    rest = docs.drop("lang_pred", "score", "_id")
     return rest.withColumn("_id", run(F.col("text"))).select(*rest.columns, "_id.lang_pred", "_id.score")
 
 

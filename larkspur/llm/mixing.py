@@ -122,7 +122,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, per_class: int = 1_500) -> D
     """
     y = F.when(F.col("toxic") == 1, F.lit("toxic")).when(F.col("quality") == 0, F.lit("poor")).when(F.col("quality") == 1, F.lit("good"))
     rows = labels.select("doc_id", y.alias("y"))
-    picked, counts = class_sample(rows, "y", "doc_id", per_class, len(DOMAINS))
+    picked, counts = class_sample(rows, "y", "doc_id", per_class)
     picked = picked.groupBy("doc_id").agg(F.min("y").alias("y")).limit(6 * per_class)  # bounded: safe to broadcast
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "y", piece(F.col("text"), F.col("doc_id"), PIECE).alias("t"))
     sample = texts.where("t <> ''").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("t").alias("t")).orderBy(F.xxhash64("doc_id", F.lit("order")), "doc_id").limit(6 * per_class).collect()

@@ -85,7 +85,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     of the sampled texts build the dictionaries, the others the calibration.
     """
     rows = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1)")
-    picked, counts = class_sample(rows, "y", "doc_id", per_class, 2)
+    picked, counts = class_sample(rows, "y", "doc_id", per_class)
     picked = picked.groupBy("doc_id").agg(F.min("y").alias("y")).limit(4 * per_class)  # bounded: safe to broadcast
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "y", piece(F.col("text"), F.col("doc_id"), PIECE).alias("t"))
     sample = texts.where("t <> ''").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("t").alias("t")).orderBy(F.xxhash64("doc_id", F.lit("order")), "doc_id").limit(4 * per_class).collect()

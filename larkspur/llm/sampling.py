@@ -18,15 +18,15 @@ def piece(text: Column, key: Column, chars: int) -> Column:
     return F.substring(text, (F.pmod(F.xxhash64(key, F.lit("place")), F.greatest(F.length(text) - chars + 1, F.lit(1))) + 1).cast("int"), F.lit(chars))
 
 
-def class_sample(rows: DataFrame, label: str, key: str, per_class: int, classes: int) -> tuple[DataFrame, dict]:
+def class_sample(rows: DataFrame, label: str, key: str, per_class: int) -> tuple[DataFrame, dict]:
     """Rows of a hash sample with about ``per_class`` rows of each label, and the label counts over all rows.
 
-    ``classes`` most frequent labels are used.  The counts are map-side
-    combined; the sample is a filter, so nothing is moved for it.
+    The counts are map-side combined and must be few, as labels are; the sample
+    is a filter, so nothing is moved for it.
     """
     rows = rows.where(F.col(label).isNotNull() & F.col(key).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(classes).collect()}
-    share = F.lit(0)
-    for value, n in counts.items():
-        share = F.when(F.col(label) == F.lit(value), F.lit(min(SCALE, int(SCALE * 1.2 * per_class / n) + 1))).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64(key), F.lit(SCALE)) < share), counts
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).collect()}
+    if not counts:
+        return rows.limit(0), counts
+    share = F.create_map(*[F.lit(x) for value, n in counts.items() for x in (value, min(SCALE, int(SCALE * 1.2 * per_class / n) + 1))])
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(SCALE)) < share[F.col(label)]), counts

@@ -24,6 +24,57 @@ def test_labelled_pages():
         assert unescape(html.extract("".join(part for _, part in page))).split() == want
 
 
+W = "<p>" + "word " * 30 + "</p>"
+WORDS = " ".join(["word"] * 30)
+
+
+def text_of(body):
+    return html.extract(f"<html><body>{body}</body></html>")
+
+
+def test_names_of_states_do_not_make_boilerplate():
+    for body in ('<div class="content no-sidebar">%s</div>', '<div class="post has-comments">%s</div>', '<main class="with-sidebar">%s</main>', '<div class="post category-advertising">%s</div>', '<p title="a hidden gem, class=ad">%s</p>'):
+        assert text_of(body % W) == WORDS, body
+
+
+def test_headlines_of_articles_stay():
+    for body in ("<article><header><h1>Head line</h1></header>%s</article>", '<article><div class="article-header"><h1>Head line</h1></div>%s</article>', '<div class="post"><div class="post-header"><h1>Head line</h1></div>%s</div>'):
+        assert text_of(body % W) == "Head line\n\n" + WORDS, body
+
+
+def test_boilerplate_goes_without_an_article_element():
+    beside = ['<div class="page-header">site name</div>', '<div class="widget-area">some items in the widget</div>', '<header><h1>Site</h1><p>Motto of it</p></header>', '<div class="sd-sharing">Share this now</div>', '<div class="articleComments"><p>I think so too</p></div>', '<section id="comments"><article class="comment"><p>So do I</p></article></section>', '<form><label>Name</label><button>Go</button></form>', '<div role="complementary">x y z</div>', '<div aria-hidden="true">x y</div>', "<div hidden>x y</div>", '<div class="Cookie-Notice">we use them</div>']
+    for b in beside:
+        for body in (f"{b}<div>{W}</div>", f'<div class="entry-content">{W}</div>{b}', f"<div>{W}{b}{W}</div>"):
+            assert text_of(body).replace("\n\n", " ").split() == ["word"] * body.count("word"), body
+
+
+def test_the_scan_leaves_out_what_no_name_tells(monkeypatch):
+    """Lists of links and lines of small print in plain elements; without the scan they stay."""
+    links = "<div><a href=x>Home</a> <a href=y>News of today</a> <a href=z>More of it</a></div>"
+    body = f"{links}<div>{W}<table><tr><td>cell one</td></tr></table>{W}</div><div><div><div>{links}</div></div></div>"
+    want = f"{WORDS}\n\ncell one\n\n{WORDS}"
+    assert text_of(body) == want
+    before = sum(r for page in PAGES for r in [html.extract("".join(p for _, p in page)) != ""])
+    monkeypatch.setattr(html, "best_run", lambda scores: (0, len(scores)))
+    assert text_of(body) != want and "Home" in text_of(body) and before == len(PAGES)
+
+
+def test_long_attributes_and_deep_nesting():
+    for n in (19_990, 20_010, 3_000_000):
+        assert text_of(f"<article><p title=\"{'LEAK>' * (n // 5)}\">hello</p>{W}</article>") == "hello\n\n" + WORDS
+    for depth in (10, 511, 600, 5_000):
+        assert text_of("<article>" + W + "<div>" * depth + "<nav>menu words here</nav>" + "</div>" * depth + W + "</article><div>after</div>") == f"{WORDS}\n\n{WORDS}"
+
+
+def test_references_do_not_go_on_behind_a_tag():
+    assert text_of(f"<article><p>x &am<b>p;</b> &lt<b>x</b></p>{W}</article>") == f"x &amp; <x\n\n{WORDS}"
+
+
+def test_ties_take_the_first_run():
+    assert html.best_run([1.0, -5.0, 1.0]) == (0, 1) and html.best_run([0.0, 2.0, 0.0]) in ((0, 2), (1, 2)) and html.best_run([-1.0]) == (0, 0)
+
+
 def test_best_run_equals_brute_force():
     rng = random.Random(1)
     for _ in range(500):
@@ -49,7 +100,7 @@ def test_broken_pages():
     assert html.extract("<article><p>a < b and c <3 d</p><p title=\"x>y</p>") .startswith("a < b and c <3 d")
     assert html.extract("<script>var x = 1;") == "" and html.extract("") == "" and html.extract(None) == ""
     assert html.extract("plain text only") == "plain text only"
-    for c in ("<", "<a ", "<a '", '<p "', "<!--", "</", "&", "<div>", "<script>", "<b><p>"):
+    for c in ("<", "<a ", "<a '", '<p "', "<p a='", '<p a="', "<!--", "</", "&", "<div>", "<script>", "<b><p>", "<p><div><b>", "<i><p></p>", "</x>", "<b></i>", "<li><ul><b>"):
         t = time.time()
         html.extract("<article><p>x</p>" + c * 20_000)
         assert time.time() - t < 5, c

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur.llm import embedding_dedup as E
 
@@ -52,6 +53,49 @@ def test_equals_brute_force(spark, block):
     assert got == brute(rows)
 
 
+def test_ids_that_are_null_or_repeat_and_clashing_columns(spark):
+    one, two, three = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.999, 0.01]
+    rows = [(1, one, 1, "a"), (1, two, 1, "b"), (2, three, 1, "c"), (None, two, 1, "d"), (None, one, 1, "d"), (5, one, 1, "e"), (6, one, None, "f")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, kept string").withColumn("n_links", F.lit("x")).withColumn("component_id", F.lit(None).cast("string"))
+    got = sorted((r.vec_id or -1, r.n_links, r.component_id or -1, r.kept) for r in E.embedding_dedup(df).collect())
+    assert got == [(-1, 0, -1, True), (-1, 0, -1, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (5, 1, 1, False), (6, 0, 6, True)]
+
+
+def test_ties_at_the_threshold_link(spark):
+    rows = [(1, [1.0, 0.0], 1), (2, [0.0, 1.0], 1), (3, [3.0, 4.0], 1), (4, [4.0, -3.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.embedding_dedup(df, threshold=0.8, miss=1e-9).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 2), 4: (1, 1)}
+
+
+def test_large_bucket_equals_brute_force():
+    """A bucket beyond the size of the small ones, whole and as a pair of cuts."""
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((5, 16))
+    x = np.concatenate([c + rng.normal(0, 0.15, (60, 16)) for c in centres])
+    unit, cid, w, cut = x / np.linalg.norm(x, axis=1, keepdims=True), rng.permutation(300), rng.integers(1, 9, 300), rng.integers(0, 2, 300)
+    order = np.argsort(cid)
+    unit, cid, w, cut = unit[order], cid[order], w[order], cut[order]
+    verifier = E.Verifier(0.98, 12, 20)
+    keys = E._signatures(unit, 12, 20)
+    for t, cuts in ((0, None), (7, None), (7, cut)):
+        link = (unit @ unit.T >= 0.98) & ~np.eye(300, dtype=bool)
+        if cuts is not None:
+            link &= cuts[:, None] != cuts[None, :]
+        met = (keys[:, None, :t] == keys[None, :, :t]).any(axis=2)
+        got = verifier._large(unit, cid, w, t, cuts).set_index("cid")
+        assert set(got.index) == set(cid[link.any(axis=1)])
+        for k in np.flatnonzero(link.any(axis=1)):
+            assert got.links[cid[k]] == w[link[k] & ~met[k]].sum()
+        label = np.arange(300)
+        while True:
+            new = np.minimum(label, np.where(link, label[None, :], 300).min(axis=1))
+            if (new == label).all():
+                break
+            label = new
+        assert all(got.hub[cid[k]] == cid[label[k]] for k in np.flatnonzero(link.any(axis=1)))
+
+
 def test_empty(spark):
     assert E.embedding_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 

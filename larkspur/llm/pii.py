@@ -12,13 +12,18 @@ starts where a run of its characters starts, or where the last match ended
 Contextual spans.  Base spans are seed instances, blanks included; what they
 leave of the text is searched for unknown ones: runs of number groups with one
 blank between them (a lone digit is no group), words around an "(at)", and tokens
-with a digit or an @.  The one and the two words before an instance are lexical
-patterns.  Pattern confidence is the mean score of its distinct instances, the
-score of an unknown instance is the best confidence among its patterns; both
-are recomputed in turn as joins and map-side combined sums over the graph.
-Patterns with high confidence and support finally label the unknown instances
-behind them that have the kind's loose shape; of a run, the longest beginning
-that has it.
+with a digit or an @.  The one and the two words before an instance, on its line
+and behind the instance before, are lexical patterns.
+
+Patterns and instances form a graph that is scored in rounds.  A seed scores 1
+for its kind; an unknown instance that has a kind's loose shape scores the best
+confidence among its trusted patterns; any other scores 0.  A pattern's
+confidence is the mean score of its distinct instances, its support the number
+of those that score ``confidence`` or more.  Patterns with enough of both are
+trusted, so what they discover counts as seeds for further patterns, also for
+such that no seed has; rounds go on until no pattern is added.  Trusted patterns
+finally label the unknown instances behind them that have the kind's loose
+shape; of a run, the longest beginning that has it.
 """
 
 from __future__ import annotations
@@ -69,15 +74,20 @@ def with_scan(df: DataFrame, values: str, out: str, op: str = "sum") -> DataFram
     return df.withColumn(out, F.coalesce(held(F.expr(made), values, "_off", "_seq"), F.array().cast("array<bigint>"))).drop("_n", "_k", "_seq", "_sum", "_off")
 
 
-def _located(df: DataFrame, pattern: str, possible: Column, out: str) -> DataFrame:
-    """Add ``out``: structs ``m`` (match), ``e`` (its end in code points), ``b`` (the text between the last match and it)."""
+FOUND = "array<struct<m:string,e:bigint,one:string,two:string>>"
+
+
+def _located(df: DataFrame, pattern: str, possible: Column, out: str, contexts: bool) -> DataFrame:
+    """Add ``out``: structs ``m`` (match), ``e`` (its end in code points), ``one`` and ``two`` (the last words before it and behind the match before; empty if there are none)."""
     found = F.when(possible, F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
     df = df.withColumn("_m", F.coalesce(found, F.array().cast("array<string>")))
     df = df.withColumn("_p", F.when(F.size("_m") > 0, F.slice(F.split("text", pattern, -1), F.lit(1), F.size("_m"))))
     df = df.withColumn("_u", F.zip_with("_p", "_m", lambda p, m: (F.length(p) + F.length(m)).cast("long")))
     df = with_scan(df, "_u", "_e")
-    zipped = F.transform("_m", lambda m, i: F.struct(m.alias("m"), F.get("_e", i).alias("e"), F.right(F.get("_p", i), F.lit(64)).alias("b")))
-    none = F.array().cast("array<struct<m:string,e:bigint,b:string>>")
+    word = rf"(?<![^{_WS}])[^{_WS}]++"
+    words = lambda i, pattern: F.regexp_extract(F.get("_p", i), rf"({pattern})[ \t]*$", 1) if contexts else F.lit("")
+    zipped = F.transform("_m", lambda m, i: F.struct(m.alias("m"), F.get("_e", i).alias("e"), words(i, word).alias("one"), words(i, rf"{word}[ \t]++{word}").alias("two")))
+    none = F.array().cast(FOUND)
     return df.withColumn(out, F.coalesce(held(zipped, "_p", "_e"), none)).drop("_m", "_p", "_u", "_e")
 
 
@@ -114,7 +124,7 @@ def _spans(kind: str, found: str) -> Column:
 
 
 def _seeds(kind: str, found: str) -> Column:
-    return F.transform(F.filter(found, lambda x: valid(kind, x["m"])), lambda x: F.struct(F.lit(kind).alias("seed"), x["m"].alias("m"), x["b"].alias("b")))
+    return F.transform(F.filter(found, lambda x: valid(kind, x["m"])), lambda x: F.struct(F.lit(kind).alias("seed"), x["m"].alias("m"), x["one"].alias("one"), x["two"].alias("two")))
 
 
 SPANS = "array<struct<s:bigint,k:int,e:bigint>>"
@@ -123,12 +133,12 @@ SPANS = "array<struct<s:bigint,k:int,e:bigint>>"
 def base_spans(docs: DataFrame, text: str = "text", seeds: bool = False) -> DataFrame:
     """``docs`` with ``base``: sorted spans (start ``s``, kind number ``k``, end ``e``) of every whole text (null: none).
 
-    With ``seeds`` also ``seeds``: kind, text and the text before (last 64 characters) of every span.
+    With ``seeds`` also ``seeds``: kind, text and the words before of every span.
     """
     df = docs if text == "text" else docs.withColumn("text", F.col(text))
     for kind in KINDS:
         possible = F.col("text").rlike("[0-9]") if NEEDED[kind] is None else F.contains(F.col("text"), F.lit(NEEDED[kind]))
-        df = _located(df, PATTERNS[kind], possible, "_f")
+        df = _located(df, PATTERNS[kind], possible, "_f", seeds)
         df = df.withColumn(f"_{kind}", _spans(kind, "_f"))
         if seeds:
             df = df.withColumn(f"_of_{kind}", _seeds(kind, "_f"))
@@ -139,10 +149,10 @@ def base_spans(docs: DataFrame, text: str = "text", seeds: bool = False) -> Data
 
 
 def _instances(df: DataFrame) -> DataFrame:
-    """Add ``found``: unknown instances beside the base spans, their ends, and the text before them (last 64 characters)."""
+    """Add ``found``: unknown instances beside the base spans, their ends, and the words before them."""
     blank = lambda x, upto: F.repeat(F.lit("\n"), (x["e"] - F.greatest(x["s"], upto)).cast("int"))
     df = _covered(df.withColumn("_whole", F.col("text")), "base", blank)
-    df = _located(df, INSTANCE, F.col("text").rlike(rf"[0-9@]|{_AT}"), "found")
+    df = _located(df, INSTANCE, F.col("text").rlike(rf"[0-9@]|{_AT}"), "found", True)
     return df.withColumn("text", F.col("_whole")).drop("_whole")
 
 
@@ -153,81 +163,100 @@ def _fitting(inst: Column, shape: str) -> Column:
     return F.get(F.filter(begun, lambda x: x.rlike(shape)), F.lit(0))
 
 
-def learned_patterns(rows: DataFrame, scratch: Scratch, support: int = 20, confidence: float = 0.9, rounds: int = 3) -> DataFrame:
-    """Trusted ``(pattern, kind)`` from ``rows(pattern, inst, seed)`` (kind of a seed, else null) by iterative scoring of the graph.
+def _fits(inst: Column) -> dict[str, Column]:
+    """What of an unknown instance has each kind's loose shape; null if nothing has."""
+    return {k: F.when(inst.rlike(SHAPES[k]), inst) if k == "email" else _fitting(inst, SHAPES[k]) for k in KINDS}
 
-    A pattern needs ``support`` distinct seeds of the kind, so the graph that
-    the rounds work on holds frequent patterns only.
-    """
-    edges = rows.select("pattern", "inst", "seed").distinct()
-    edges = scratch.keep(edges)
-    totals = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"), *[F.sum((F.col("seed") == k).cast("int")).alias(k) for k in KINDS])
-    enough = F.greatest(*[F.coalesce(F.col(k), F.lit(0)) for k in KINDS])
-    frequent = scratch.keep(totals.where(enough >= support).select("pattern", "total"))
-    kinds = F.array(*map(F.lit, KINDS))
-    live = scratch.keep(edges.join(frequent, "pattern"))
-    # One row per edge and kind; a seed scores 1 for its kind and 0 for the others, for good.
-    graph = live.select("pattern", "total", "inst", "seed", F.explode(kinds).alias("kind"))
-    seeds = F.when(F.col("seed").isNotNull(), (F.col("seed") == F.col("kind")).cast("double"))
-    scores: DataFrame | None = None
-    trusted = None
-    for _ in range(rounds):
-        scored = graph.withColumn("score", F.coalesce(seeds, F.lit(0.0))) if scores is None else graph.join(scores, ["inst", "kind"], "left").withColumn("score", F.coalesce(seeds, F.col("best"), F.lit(0.0)))
-        per = scored.groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.max("total").alias("total"), F.sum((F.col("seed") == F.col("kind")).cast("int")).alias("support"))
-        trusted = scratch.keep(per.select("pattern", "kind", (F.col("mass") / F.col("total")).alias("confidence"), "support"))
-        unknown = graph.where("seed is null").join(trusted.where(F.col("support") >= support), ["pattern", "kind"])
-        scores = unknown.groupBy("inst", "kind").agg(F.max("confidence").alias("best"))
-    return trusted.where((F.col("confidence") >= confidence) & (F.col("support") >= support)).select("pattern", "kind")
 
+def learned_patterns(rows: DataFrame, scratch: Scratch, support: int = 20, confidence: float = 0.9, rounds: int = 50) -> DataFrame:
+    """Trusted ``(pattern, kind)`` of ``rows(pattern, inst, seed, kinds)``, by rounds over the graph.
 
-def find_pii(docs: DataFrame, scratch: Scratch, support: int = 20, confidence: float = 0.9, rounds: int = 3) -> DataFrame:
+    ``seed`` is the kind of a seed, else null; ``kinds`` are the kinds whose
+    shape an unknown instance has.  Only patterns that could be trusted if all
+    instances of their kind's shape were discovered take part in the rounds,
+    which end when no pattern is added (at the latest after ``rounds``).
+    """
+    edges = scratch.keep(rows.select("pattern", "inst", "seed", "kinds").distinct())
+    each = edges.select("pattern", "inst", "seed", F.explode_outer(F.when(F.col("seed").isNotNull(), F.array("seed")).otherwise(F.col("kinds"))).alias("kind"))
+    totals = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= support)
+    able = each.where("kind is not null").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("most"), F.count("seed").alias("seeds"))
+    able = able.join(totals, "pattern").where((F.col("most") >= support) & (F.col("most") >= confidence * F.col("total")))
+    able = scratch.keep(able.select("pattern", "kind", "seeds", "total"))
+    graph = scratch.keep(each.where("seed is null and kind is not null").join(able.select("pattern", "kind"), ["pattern", "kind"]).select("pattern", "kind", "inst"))
+    of = able.select("pattern", "kind", "total", F.col("seeds").alias("support"), F.col("seeds").cast("double").alias("mass"))
+    trusted, known = None, -1
+    for _ in range(rounds):
+        scored = of.withColumn("confidence", F.col("mass") / F.col("total"))
+        trusted = scratch.keep(scored.where((F.col("support") >= support) & (F.col("confidence") >= confidence)).select("pattern", "kind", "confidence"))
+        now = trusted.count()
+        if now == known or not now:
+            break
+        known = now
+        scores = graph.join(trusted, ["pattern", "kind"]).groupBy("inst", "kind").agg(F.max("confidence").alias("score"))
+        found = graph.join(scores, ["inst", "kind"]).groupBy("pattern", "kind").agg(F.sum("score").alias("gained"), F.count(F.lit(1)).alias("n"))
+        of = able.join(found, ["pattern", "kind"], "left").select("pattern", "kind", "total", (F.col("seeds") + F.coalesce("n", F.lit(0))).alias("support"), (F.col("seeds") + F.coalesce("gained", F.lit(0.0))).alias("mass"))
+    return trusted.select("pattern", "kind")
+
+
+def find_pii(docs: DataFrame, scratch: Scratch, support: int = 20, confidence: float = 0.9, rounds: int = 50) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of (start ``s``, kind ``k``, end ``e``), sorted.
 
     ``spans`` holds all base spans and those the learned contexts add beside
     them.  Null and empty texts have none; repeated rows and null ids are
-    handled by row; clashing columns are replaced; an empty table gives an
-    empty result.
+    handled by row (equal instances behind one pattern count once); clashing
+    columns are replaced; an empty table gives an empty result.
     """
     docs = docs.drop("base", "spans", "found", "seeds", "_rid")
     rows = _instances(base_spans(docs, seeds=True)).withColumn("_rid", F.monotonically_increasing_id())
     rows = scratch.keep(rows)  # fixes the row numbers
-    unknown = rows.select("_rid", F.explode("found").alias("f")).select("_rid", "f.m", "f.b", "f.e", F.lit(None).cast("string").alias("seed"))
-    known = rows.select("_rid", F.explode("seeds").alias("f")).select("_rid", "f.m", "f.b", F.lit(None).cast("long").alias("e"), "f.seed")
+    unknown = rows.select("_rid", F.explode("found").alias("f")).select("_rid", "f.*", F.lit(None).cast("string").alias("seed"))
+    known = rows.select("_rid", F.explode("seeds").alias("f")).select("_rid", "f.m", F.lit(None).cast("long").alias("e"), "f.one", "f.two", "f.seed")
 
     def named(each: DataFrame) -> DataFrame:
-        left = F.regexp_extract("b", rf"([^{_WS}]++)[ \t]*$", 1)
-        two = F.regexp_extract("b", rf"([^{_WS}]++[ \t]++[^{_WS}]++)[ \t]*$", 1)
         inst = F.lower(F.regexp_replace("m", "[.,;:!?)\\]\"']+$", ""))
-        ps = F.array(F.concat(F.lit("1 "), F.lower(left)), F.concat(F.lit("2 "), F.lower(F.regexp_replace(two, "[ \t]+", " "))))
+        ps = F.array(F.concat(F.lit("1 "), F.lower("one")), F.concat(F.lit("2 "), F.lower(F.regexp_replace("two", "[ \t]+", " "))))
         return each.select("_rid", "m", "e", "seed", inst.alias("inst"), F.explode(ps).alias("pattern")).where("length(pattern) > 3 and not pattern rlike '[0-9@]{2}'")
 
-    trusted = learned_patterns(named(unknown.unionByName(known)), scratch, support, confidence, rounds)
+    fits = _fits(F.col("inst"))
+    behind = named(unknown)
+    none = F.array().cast("array<string>")
+    kinds = F.filter(F.array(*[F.when(fits[k].isNotNull(), F.lit(k)) for k in KINDS]), lambda k: k.isNotNull())
+    graph = behind.select("pattern", "inst", "seed").distinct().withColumn("kinds", kinds).unionByName(named(known).select("pattern", "inst", "seed", none.alias("kinds")))
+    trusted = learned_patterns(graph, scratch, support, confidence, rounds)
     number = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(KINDS)])
-    fits = F.when(F.col("kind") == "email", F.when(F.col("inst").rlike(SHAPES["email"]), F.col("inst")))
-    for kind in KINDS[1:]:
-        fits = fits.when(F.col("kind") == kind, _fitting(F.col("inst"), SHAPES[kind]))
-    new = named(unknown).join(trusted, "pattern").withColumn("fit", fits).where("fit is not null")
+    fit = F.coalesce(*[F.when(F.col("kind") == k, fits[k]) for k in KINDS])
+    new = behind.join(trusted, "pattern").withColumn("fit", fit).where("fit is not null")
     start = F.col("e") - F.length("m")
     added = new.select("_rid", F.struct(start.alias("s"), number.alias("k"), (start + F.length("fit")).alias("e")).alias("x")).groupBy("_rid").agg(F.collect_set("x").alias("added"))
     both = rows.drop("found", "seeds").join(added, "_rid", "left")
     return both.withColumn("spans", F.coalesce(F.when(F.size("added") > 0, F.sort_array(F.concat("base", "added"))), F.col("base"))).drop("added", "_rid")
 
 
+CHUNK = 1024
+
+
+def _between(chunks: str, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` of a text given as chunks of ``CHUNK``; touches the chunks it needs only."""
+    a, b = (F.floor(x / CHUNK).cast("int") for x in (start, end))
+    at, upto = ((x - k * CHUNK).cast("int") for x, k in ((start, a), (end, b)))
+    within = F.substring(F.get(chunks, a), at + 1, (end - start).cast("int"))
+    across = F.concat(F.substring(F.get(chunks, a), at + 1, F.lit(CHUNK)), F.array_join(F.slice(chunks, a + 2, F.greatest(b - a - 1, F.lit(0))), ""), F.coalesce(F.substring(F.get(chunks, b), F.lit(1), upto), F.lit("")))
+    return F.when(start >= end, F.lit("")).when(a == b, within).otherwise(across)
+
+
 def _covered(df: DataFrame, spans: str, cover: Callable[[Column, Column], Column]) -> DataFrame:
     """``df`` with every one of ``spans`` in ``text`` replaced by ``cover(span, end of those before it)``, which sees the rest of an overlap only."""
     some = F.size(spans) > 0
     df = df.withColumn("_ends", F.transform(spans, lambda x: x["e"]))
-    df = with_scan(df, "_ends", "_max", "max").withColumn("_c", F.when(some, F.split("text", "")))
+    df = with_scan(df, "_ends", "_max", "max").withColumn("_c", F.when(some, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))))
 
     def before(x: Column, i: Column) -> Column:
         upto = F.coalesce(F.get("_max", i - 1), F.lit(0))
-        gap = F.array_join(F.slice("_c", (upto + 1).cast("int"), F.greatest(x["s"] - upto, F.lit(0)).cast("int")), "")
-        return F.concat(gap, F.when(x["e"] > upto, cover(x, upto)).otherwise(F.lit("")))
+        return F.concat(_between("_c", upto, x["s"]), F.when(x["e"] > upto, cover(x, upto)).otherwise(F.lit("")))
 
-    last = F.element_at("_max", -1)
-    tail = F.array_join(F.slice("_c", (last + 1).cast("int"), F.greatest(F.size("_c") - last, F.lit(0)).cast("int")), "")
+    tail = _between("_c", F.element_at("_max", -1), F.length("text"))
     made = F.concat(F.array_join(F.transform(spans, before), ""), tail)
-    return df.withColumn("text", F.when(some, made).otherwise(F.col("text"))).drop("_ends", "_max", "_c")
+    return df.withColumn("text", F.when(some, held(made, "_c", "_max")).otherwise(F.col("text"))).drop("_ends", "_max", "_c")
 
 
 def mask_pii(found: DataFrame) -> DataFrame:

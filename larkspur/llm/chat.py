@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +25,14 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Control strings of this and other templates: first character, then the rest.
-_REST = r"(\|[a-z_]{1,32}\|>|/?s>|/?INST\]|</?SYS>>|/?SYS>>)"
-_PLAIN = re.compile(r"([<\[])(\\*)" + _REST)
-_ESCAPED = re.compile(r"([<\[])\\(\\*)" + _REST)
+#: Control strings of this and other templates: first character, then the rest (fixed values; letters of either case).
+#: Whatever follows "<|" is one, so no list of names and no length matters there.
+_REST = (
+    r"(\||\uff5c|/?(?:s|bos|eos|pad|unk|mask|cls|sep|start_of_turn|end_of_turn)>|</?SYS>>|/?SYS>>"
+    r"|/?(?:INST|SYSTEM_PROMPT|AVAILABLE_TOOLS|TOOL_CALLS|TOOL_RESULTS|TOOL_CONTENT)\])"
+)
+_PLAIN = re.compile(r"([<\[])(\\*)" + _REST, re.I)
+_ESCAPED = re.compile(r"([<\[])\\(\\*)" + _REST, re.I)
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 TURN_TOKENS = 4  # what the template adds to a turn
 
@@ -66,8 +70,8 @@ def read_window(text: str) -> list[tuple[str, str]]:
 class _Windows:
     """Cuts one conversation's stream of turns into windows."""
 
-    def __init__(self, budget: int, history: int):
-        self.budget, self.history = budget, history
+    def __init__(self, budget: int, history: int, count: Callable[[str], int]):
+        self.budget, self.history, self.count = budget, history, count
         self.system: tuple[str, str, int] | None = None
         self.recent: list[tuple[str, str, int]] = []
         self.fresh: list[tuple[str, str, int]] = []
@@ -96,7 +100,7 @@ class _Windows:
         return out
 
     def add(self, role: str, body: str) -> Iterator[dict]:
-        turn = (role, body, count_tokens(body) + TURN_TOKENS)
+        turn = (role, body, self.count(body) + TURN_TOKENS)
         if self.fresh and self.used + turn[2] > self.budget:
             yield self._close()
         # repeated turns give way to a fresh one that would not fit beside them
@@ -116,7 +120,7 @@ class _Windows:
 WINDOW = "conv string, window int, text string, n_context int, n_turns int, loss array<struct<start:int,end:int>>, n_tokens int"
 
 
-def _format(turns: DataFrame, budget: int, history: int) -> DataFrame:
+def _format(turns: DataFrame, budget: int, history: int, count: Callable[[str], int]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, open_, rows = object(), None, []
         held = 0
@@ -125,7 +129,7 @@ def _format(turns: DataFrame, budget: int, history: int) -> DataFrame:
                 if open_ is None or conv != now:
                     if open_:
                         rows += [{"conv": now, **w} for w in open_.end()]
-                    now, open_ = conv, _Windows(budget, history)
+                    now, open_ = conv, _Windows(budget, history, count)
                 made = [{"conv": now, **w} for w in open_.add(role, text)]
                 rows += made
                 held += len(text)
@@ -145,22 +149,23 @@ def _format(turns: DataFrame, budget: int, history: int) -> DataFrame:
     return ordered.select("conv", "role", "text").mapInPandas(run, WINDOW)
 
 
-def format_chats(turns: DataFrame, budget: int = 1024, history: int = 256) -> DataFrame:
+def format_chats(turns: DataFrame, budget: int = 1024, history: int = 256, count: Callable[[str], int] = count_tokens) -> DataFrame:
     """Formatted windows of ``turns(conv_id, turn, role, text, ..)``.
 
     Returns ``conv_id, window, text, n_context, n_turns, loss, n_tokens``:
     ``n_context`` leading turns are repeats, ``loss`` holds the spans (code
-    points of ``text``) that count as targets.  Turns are ordered by turn, then
+    points of ``text``) that count as targets.  ``count`` gives a text's tokens
+    (a tokenizer's, say; by default its words and marks).  Turns are ordered by turn, then
     role and text (null turns first); null roles and texts count as empty,
     repeated rows are turns of their own, rows with a null conv_id form one
     conversation.  An empty table gives none; other columns are ignored.
     """
     kind = turns.schema["conv_id"].dataType
-    made = _format(turns, budget, history)
+    made = _format(turns, budget, history, count)
     return made.withColumn("conv", F.col("conv").cast(kind)).withColumnRenamed("conv", "conv_id")
 
 
-def chat_digests(turns: DataFrame, budget: int = 1024, history: int = 256) -> DataFrame:
+def chat_digests(turns: DataFrame, budget: int = 1024, history: int = 256, count: Callable[[str], int] = count_tokens) -> DataFrame:
     """What the formatted windows say when read back, one row per conversation."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,7 +196,7 @@ def chat_digests(turns: DataFrame, budget: int = 1024, history: int = 256) -> Da
 
     schema = "conv string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     kind = turns.schema["conv_id"].dataType
-    read = _format(turns, budget, history).mapInPandas(run, schema)
+    read = _format(turns, budget, history, count).mapInPandas(run, schema)
     return read.withColumn("conv", F.col("conv").cast(kind)).withColumnRenamed("conv", "conv_id")
 
 

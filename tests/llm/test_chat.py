@@ -21,6 +21,21 @@ def test_escape_round_trip():
         assert chat._unescape_role(chat._escape_role(t)) == t and "\n" not in chat._escape_role(t)
 
 
+def test_any_control_string_is_escaped():
+    for c in ("<|reserved_special_token_0|>", "<|Im_start|>", "<|" + "a" * 40 + "|>", "<|x y|>", "<\uff5cbegin\uff5c>", "<S>", "</s>", "<eos>", "<start_of_turn>", "[inst]", "[/INST]", "<<SYS>>", "<</SYS>>", "[TOOL_CALLS]"):
+        e = chat.escape(f"a {c}{c} b")
+        assert c not in e and chat.unescape(e) == f"a {c}{c} b", c
+    assert chat.escape("<b>x</b> a < b [1] [note]") == "<b>x</b> a < b [1] [note]"
+
+
+def test_own_count_and_clashing_columns(spark):
+    rows = [(1, k, "user", "x" * 10, "y", 5) for k in range(20)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n_turns string, loss int")
+    got = chat.format_chats(df, budget=50, history=0, count=len).collect()
+    assert [r.n_turns for r in got] == [3] * 6 + [2] and all(r.n_tokens == 14 * r.n_turns for r in got)
+    assert chat.chat_digests(df, budget=50, history=0, count=len).collect()[0].n_turns == 20
+
+
 def conversations():
     rng = random.Random(7)
     rows = []

@@ -8,7 +8,7 @@ evidence means the same at every length; the slope may vary with log length up
 to a bound.
 
 The fit sees a bounded hash sample of labelled rows (``per_class`` of each
-label, a passage of ``PIECE`` characters of each); scoring reads everything.
+label, a passage of ``passage`` characters of each); scoring reads everything.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from .common import read_table
 from .sampling import class_sample, kept_out, piece
 
-PIECE = 2_000
 BLOCK = 2_000
 DICTIONARY = 262_144
 LEVEL = 3
@@ -78,16 +77,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 2_400) -> tuple[bytes, bytes, np.ndarray | None, float]:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 2_400, passage: int = 2_000) -> tuple[bytes, bytes, np.ndarray | None, float]:
     """``(good dictionary, bad dictionary, weights, share of label 1)`` from a bounded sample.
 
-    ``labels(doc_id, <label>)`` must be the rows that may be learned from.  Half
-    of the sampled texts build the dictionaries, the others the calibration.
+    ``labels(doc_id, <label>)`` must be the rows that may be learned from.  Two
+    thirds of the sampled texts build the dictionaries, the others the calibration.
     """
     rows = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1)")
     picked, counts = class_sample(rows, "y", "doc_id", per_class)
     picked = picked.groupBy("doc_id").agg(F.min("y").alias("y")).limit(4 * per_class)  # bounded: safe to broadcast
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "y", piece(F.col("text"), F.col("doc_id"), PIECE).alias("t"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "y", piece(F.col("text"), F.col("doc_id"), passage).alias("t"))
     sample = texts.where("t <> ''").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("t").alias("t")).orderBy(F.xxhash64("doc_id", F.lit("order")), "doc_id").limit(4 * per_class).collect()
     prior = counts.get(1, 0) / max(sum(counts.values()), 1) if counts else 0.5
     of = [[r["t"] for r in sample if r["y"] == y] for y in (0, 1)]
@@ -100,15 +99,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     return good, bad, _logistic(_design(seen[:, 0], seen[:, 1]), np.array([y for _, y in rest], dtype=float)), prior
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, fold: int = 0, threshold: float = 0.3, per_class: int = 2_400) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, fold: int = 0, threshold: float = 0.3, per_class: int = 2_400, passage: int = 2_000) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``docs(doc_id, text, ..)``.
 
+    Learns from about ``per_class`` rows of each label, ``passage`` characters of each.
     Null and empty texts score the share of label 1 among the labels (0.5
     without labels), as do all texts if only one label can be learned.  A row
     with a null doc_id is scored and never held out.  Repeated rows stay; other
     columns are ignored; an empty table gives an empty result.
     """
-    good, bad, weights, prior = fit(docs, labels.where(F.col("doc_id").isNotNull() & ~kept_out(F.col("doc_id"), folds, fold)), label, per_class)
+    good, bad, weights, prior = fit(docs, labels.where(F.col("doc_id").isNotNull() & ~kept_out(F.col("doc_id"), folds, fold)), label, per_class, passage)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -15,6 +15,7 @@ lost executor costs one pass over a written table of K + 1 numbers a document.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +26,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, read_table
 from .sampling import class_sample, piece
 
-PIECE = 3_000
 VOCABULARY = 3_000
 DOMAINS = ["good", "toxic", "poor"]
 #: Default target shares of tokens: mostly good, some poor, little toxic.
 TARGETS = {"good": 0.94, "poor": 0.05, "toxic": 0.01}
-DOMAINS = ["good", "toxic", "poor"]
-#: Default target shares of tokens: mostly good, some poor, little toxic.
-TARGETS = {"good": 0.94, "poor": 0.05, "toxic": 0.01}
 #: Rows of the weight table for words outside the vocabulary, by shape: plain, capitals, symbols.
 SHAPES = 3
 
@@ -114,8 +111,8 @@ def _regression(rows: list[tuple[list[int], list[float]]], y: np.ndarray, width:
     return w
 
 
-def fit_domains(docs: DataFrame, labels: DataFrame, per_class: int = 1_500) -> DomainModel:
-    """Classifier of the labels' domains from a bounded sample: ``per_class`` texts, ``PIECE`` characters of each.
+def fit_domains(docs: DataFrame, labels: DataFrame, per_class: int = 1_500, passage: int = 3_000) -> DomainModel:
+    """Classifier of the labels' domains from a bounded sample: ``per_class`` texts, ``passage`` characters of each.
 
     Domains weigh alike in the fit; their shares among all labels are then put
     back as priors.  Without labels every posterior is equal.
@@ -124,7 +121,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, per_class: int = 1_500) -> D
     rows = labels.select("doc_id", y.alias("y"))
     picked, counts = class_sample(rows, "y", "doc_id", per_class)
     picked = picked.groupBy("doc_id").agg(F.min("y").alias("y")).limit(6 * per_class)  # bounded: safe to broadcast
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "y", piece(F.col("text"), F.col("doc_id"), PIECE).alias("t"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "y", piece(F.col("text"), F.col("doc_id"), passage).alias("t"))
     sample = texts.where("t <> ''").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("t").alias("t")).orderBy(F.xxhash64("doc_id", F.lit("order")), "doc_id").limit(6 * per_class).collect()
     k = len(DOMAINS)
     cut = [ws for r in sample if (ws := r["t"].split())]
@@ -178,7 +175,9 @@ def fit_rates(members: DataFrame, targets: np.ndarray, rounds: int = 60, toleran
 
     With ``sure`` the rates are chances (see ``rates_of``), and the totals are
     those of the chances.  As no document can count more than once, the targets
-    then give proportions, scaled to the total the first domain has at present.
+    then give proportions, scaled to the total the domain with the greatest
+    target has at present.  Totals that miss the targets after ``rounds`` are
+    warned of.
     """
     k = len(targets)
     steps = np.zeros((0, k))
@@ -201,7 +200,10 @@ def fit_rates(members: DataFrame, targets: np.ndarray, rounds: int = 60, toleran
         return v[:k], v[k:].reshape(k, k)
 
     def missed(total: np.ndarray) -> np.ndarray:
-        return total - (targets if sure is None else targets * (total[0] / max(targets[0], 1e-9)))
+        if sure is None:
+            return total - targets
+        anchor = int(np.argmax(targets))
+        return total - targets * (total[anchor] / max(targets[anchor], 1e-9))
 
     total, gram = sums(steps)
     scale, scaled = max(float(targets.sum()), 1.0), True
@@ -215,27 +217,41 @@ def fit_rates(members: DataFrame, targets: np.ndarray, rounds: int = 60, toleran
             scaled = False  # the bounds change too much for the scaled step
             continue
         steps, (total, gram) = new, found
+    short = float(np.abs(missed(total)).max()) / scale
+    if short > tolerance and total.any():
+        warnings.warn(f"after {len(steps)} steps the domain totals {total.tolist()} miss their targets by up to {short:.2%} of all", stacklevel=2)
     return steps, total
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, scratch: Scratch | None = None, per_class: int = 1_500, rounds: int = 60, without: tuple[str, ...] = (), sure: float | None = None) -> DataFrame:
+def budgets(supply: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Target tokens per domain: the shares of what the scarcest wanted domain allows without repeating documents.
+
+    A domain without any supply gets none and sets no bound.
+    """
+    wanted = (shares > 0) & (supply > 0)
+    if not wanted.any():
+        return np.zeros(len(shares))
+    return np.where(wanted, shares, 0.0) * (supply[wanted] / shares[wanted]).min()
+
+
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, scratch: Scratch | None = None, per_class: int = 1_500, rounds: int = 60, without: tuple[str, ...] = (), sure: float | None = None, passage: int = 3_000) -> DataFrame:
     """``docs`` with ``n_tokens``, ``p`` (posteriors of ``DOMAINS``) and ``rate`` (>= 0).
 
     ``without`` names columns the result need not carry; with ``sure`` the rates
-    are chances of one draw, 1 from ``sure`` on.  ``targets`` are shares per domain; the token budget is what the domain
-    present in the greatest relative supply allows without repeating documents
-    of the first domain: its target equals its expected tokens.  Null and empty
-    texts have no tokens and keep rate by their prior; without labels all
-    posteriors are equal.  Rows, nulls and ties pass through; clashing columns
+    are chances of one draw, 1 from ``sure`` on.  ``targets`` are shares per
+    domain, of the token budget that the scarcest domain allows (``budgets``).
+    Null and empty texts have no tokens and a rate by their prior; without
+    labels all posteriors are equal.  A document with several labels counts by
+    its first domain name.  Rows, nulls and ties pass through; clashing columns
     are replaced; an empty table gives an empty result.
     """
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
     shares = np.array([(targets or TARGETS)[d] for d in DOMAINS], dtype=float)
-    model = fit_domains(docs, labels, per_class)
+    model = fit_domains(docs, labels, per_class, passage)
     members = scratch.keep(posteriors(docs.drop("rate"), model).drop(*without))
     have = members.agg(*[F.sum(F.col("n_tokens") * F.get("p", F.lit(i))).alias(f"t{i}") for i in range(len(DOMAINS))]).first()
     supply = np.array([have[i] or 0.0 for i in range(len(DOMAINS))])
-    goal = shares / shares.sum() * supply[0] / max(shares[0] / shares.sum(), 1e-9)
+    goal = budgets(supply, shares / shares.sum())
     steps, _ = fit_rates(members, goal, rounds, sure=sure)
 
     @F.pandas_udf("double")

@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+import pytest
 
 from larkspur.llm import mixing
 from larkspur.llm.common import read_table
@@ -7,18 +10,23 @@ DATA = "/root/testdata/sf0.01"
 
 
 def descend(n, p, target, rounds=60, tolerance=1e-4):
-    """The same descent on whole arrays."""
-    w, scaled = np.ones(len(n)), True
+    """Projected gradient on whole arrays, written on its own: one weight a document, a step in the metric of the free ones."""
+    w = np.ones(len(n))
+    ridge = lambda g: g + 1e-3 * sum(g[k, k] for k in range(len(g))) / len(g) * np.eye(len(g))
+    newton = True
     for _ in range(rounds):
-        r = (w * n) @ p - target
-        gram = (p * (n * (w > 0))[:, None]).T @ p
-        if np.abs(r).max() <= tolerance * target.sum():
+        totals = sum(w[d] * n[d] * p[d] for d in range(len(n)))
+        error = totals - target
+        if max(abs(error)) <= tolerance * sum(target):
             break
-        new = np.maximum(0, w - p @ mixing.step_of(r, gram, scaled))
-        if scaled and np.linalg.norm((new * n) @ p - target) >= np.linalg.norm(r):
-            scaled = False
+        free = [d for d in range(len(n)) if w[d] > 0]
+        gram = sum(n[d] * np.outer(p[d], p[d]) for d in free)
+        move = np.linalg.inv(ridge(gram)) @ error if newton else error / max(np.linalg.eigvals(gram).real)
+        tried = np.array([max(0.0, w[d] - p[d] @ move) for d in range(len(n))])
+        if newton and np.linalg.norm(sum(tried[d] * n[d] * p[d] for d in range(len(n))) - target) >= np.linalg.norm(error):
+            newton = False
             continue
-        w = new
+        w = tried
     return w
 
 
@@ -31,7 +39,7 @@ def test_plain_gradient_meets_targets():
     for _ in range(60):
         r = (w * n) @ p - target
         errors.append(np.linalg.norm(r))
-        w = np.maximum(0, w - p @ mixing.step_of(r, (p * (n * (w > 0))[:, None]).T @ p, False))
+        w = np.maximum(0, w - p @ r / np.linalg.eigvalsh((p * (n * (w > 0))[:, None]).T @ p)[-1])
     assert errors[-1] < 0.2 * errors[0] and all(b <= a * 1.0001 for a, b in zip(errors, errors[1:], strict=False))
 
 
@@ -73,3 +81,38 @@ def test_odd_rows(spark):
     got = mixing.mixing_rates(docs, none).collect()
     assert len(got) == 5 and all(r.rate >= 0 and abs(sum(r.p) - 1) < 1e-9 for r in got)
     assert mixing.mixing_rates(docs.limit(0), none).count() == 0
+
+
+def test_budgets_follow_the_scarcest_domain():
+    assert np.allclose(mixing.budgets(np.array([800.0, 100.0, 100.0]), np.array([0.8, 0.1, 0.1])), [800, 100, 100])
+    assert np.allclose(mixing.budgets(np.array([800.0, 10.0, 100.0]), np.array([0.8, 0.1, 0.1])), [80, 10, 10])
+    assert np.allclose(mixing.budgets(np.array([0.0, 10.0, 100.0]), np.array([0.8, 0.1, 0.1])), [0, 10, 10])
+    assert np.allclose(mixing.budgets(np.zeros(3), np.array([0.8, 0.1, 0.1])), 0)
+
+
+def test_targets_out_of_reach_are_warned_of(spark):
+    df = spark.createDataFrame([(10, [0.5, 0.5, 0.0])] * 20, "n_tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="miss their targets"):
+        mixing.fit_rates(df, np.array([90.0, 5.0, 5.0]), rounds=5)
+
+
+def test_documents_with_several_labels_and_ties(spark):
+    """Equal texts have equal posteriors and rates, whatever their labels; repeated labels do not multiply rows."""
+    docs = spark.createDataFrame([(k, "same words in all of them") for k in range(6)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1, 0), (0, 0, 0), (1, 0, 1), (1, 0, 1), (2, 1, 0), (3, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = mixing.mixing_rates(docs, labels).collect()
+    assert len(got) == 6 and len({(tuple(r.p), r.rate) for r in got}) == 1
+
+
+def test_posteriors_equal_definition():
+    """Softmax of a plain sum over the words a text has, on a text of any length."""
+    rng = np.random.default_rng(2)
+    model = mixing.DomainModel(mixing.DOMAINS, {w: k for k, w in enumerate("abcdef")}, rng.normal(size=(mixing.DENSE + 6, 3)))
+    for text in (None, "", "a b a z", "F | ab! c", "d e " * 50_000):
+        words, different = (text or "").split(), sorted(set((text or "").split()))
+        n = max(1, len(words))
+        dense = [1, 5 * sum(w.isupper() for w in words) / n, 5 * words.count("|") / n, 5 * sum(not w[-1].isalnum() and w[-1] not in ".,;:|" for w in words) / n, 3 * len(different) / n, 3 * (len(different) / n) ** 2, min(math.log(n + 1), 8) / 4]
+        z = [sum(dense[j] * model.weights[j][d] for j in range(mixing.DENSE)) + sum(model.weights[mixing.DENSE + model.vocabulary[w]][d] for w in different if w in model.vocabulary) for d in range(3)]
+        want = np.exp(np.array(z) - max(z))
+        got, size = model.posterior([text])
+        assert np.allclose(got[0], want / want.sum()) and size[0] == len(words)

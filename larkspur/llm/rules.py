@@ -6,28 +6,27 @@ Everything is built of DataFrame functions; a row is handled where it is read.
   sorting the hashes of a text that has equal ones.
 * The method compares two histograms of a text with those of its language: the
   classes of its characters, and its share of the language's common words.  The
-  references are sums over all texts of the language that pass the base rules.
-  A text too far away (Jensen-Shannon distance) fails, if it is long enough for
-  its histogram to mean something.
+  common words are the most frequent of all words of the language's texts, the
+  references sums over all of them that pass the base rules.  A text too far
+  away (Jensen-Shannon distance) fails, if it is long enough for its histogram
+  to mean something.
+
+A language is named by two or three letters before any region, so there are
+at most 26^2 + 26^3 besides ``other``: tables by language are small enough to be
+broadcast at any input size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, held, read_table
 
-#: Common words of a language (fixed values: its most frequent function words).
-COMMON = {
-    "de": "der die und in den von zu das mit sich des auf für ist im".split(),
-    "en": "the of and to in a is that for it was on are with as".split(),
-    "es": "de la que el en y a los del se las por un para con".split(),
-    "fr": "de la le et les des en un du une que est pour qui dans".split(),
-}
 OTHER = "other"
 CLASSES = ["lower", "upper", "digit", "space", "symbol", "mark", "rest"]
 WINDOW = 8
+COMMON = 16  # words in a language's histogram, besides all others
 _SPACE = " \\t-\\r"
 
 
@@ -40,14 +39,32 @@ def _counts(text: Column) -> dict[str, Column]:
     return {"lower": only("\\p{Ll}"), "upper": only("\\p{Lu}"), "digit": only("0-9"), "space": only(_SPACE), "mark": only(".,;:!?'\"()\\-")}
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """Counts of every whole text of ``docs(doc_id, text, lang, ..)``; null texts have no words."""
+def _worded(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, lang`` (the language's letters, or ``other``) and ``words`` of every row; null texts have none."""
     spaces = " \t\n\x0b\x0c\r"
-    group = F.coalesce(*[F.when(F.lower(F.trim("lang")).startswith(k), F.lit(k)) for k in COMMON], F.lit(OTHER))
-    df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), group.alias("lang"))
+    named = F.regexp_extract(F.lower(F.trim("lang")), "^([a-z]{2,3})([-_].*)?$", 1)
+    df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.when(F.length(named) > 0, named).otherwise(F.lit(OTHER)).alias("lang"))
     trimmed = F.expr(f"trim(BOTH '{''.join(spaces.encode('unicode_escape').decode().replace('x0b', 'u000B').replace('x0c', 'u000C'))}' FROM text)")
     df = df.withColumn("_t", trimmed)
-    df = df.withColumn("words", F.when(F.col("_t") == "", F.array().cast("array<string>")).otherwise(F.split("_t", f"[{_SPACE}]+")))
+    return df.withColumn("words", F.when(F.col("_t") == "", F.array().cast("array<string>")).otherwise(F.split("_t", f"[{_SPACE}]+")))
+
+
+def common_words(docs: DataFrame) -> DataFrame:
+    """``lang, common``: the ``COMMON`` most frequent words of every language (lower case, letters only; of equals the first), most frequent first.
+
+    Words are counted where they are read; of a language, the partial ranks keep
+    a few rows of every partition for the last one.
+    """
+    words = _worded(docs).where(F.col("lang") != OTHER).select("lang", F.explode("words").alias("w")).select("lang", F.lower("w").alias("w"))
+    counts = words.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")).where(F.col("w").rlike("^\\p{L}+$"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))
+    top = counts.withColumn("k", rank).where(F.col("k") <= COMMON)
+    return top.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "w"))), lambda x: x["w"]).alias("common"))
+
+
+def features(docs: DataFrame, common: DataFrame) -> DataFrame:
+    """Counts of every whole text of ``docs(doc_id, text, lang, ..)``; null texts have no words."""
+    df = _worded(docs).join(F.broadcast(common), "lang", "left")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{_SPACE}]"))
     df = df.withColumn("_lines", lines).withColumn("_h", F.transform("words", lambda w: F.xxhash64(w)))
     windows = F.transform(F.sequence(F.lit(1), F.size("_h") - WINDOW + 1), lambda i: F.xxhash64(F.slice("_h", i, WINDOW)))
@@ -59,10 +76,9 @@ def features(docs: DataFrame) -> DataFrame:
     df = df.withColumn("_at", F.sort_array(F.transform(twice, lambda e: e["i"])))
     step = "(acc, i) -> named_struct('e', i + {w}, 'n', acc.n + i + {w} - greatest(acc.e, i))".format(w=WINDOW)
     repeated = F.expr(f"coalesce(aggregate(_at, named_struct('e', 0, 'n', 0), {step}, acc -> acc.n), 0)")
-    every = sorted({w for ws in COMMON.values() for x in ws for w in (x, x.capitalize())})
-    df = df.withColumn("_common", F.filter("words", lambda w: w.isin(every)))
-    lists = F.create_map(*[x for k, ws in COMMON.items() for x in (F.lit(k), F.array(*map(F.lit, ws)))])
-    hits = F.transform(lists[F.col("lang")], lambda c: F.size(F.filter("_common", lambda w: (w == c) | (w == F.initcap(c)))))
+    # Every word between two blanks of its own, so replacing one counts it.
+    df = df.withColumn("_padded", F.concat(F.lit(" "), F.lower(F.array_join("words", "  ")), F.lit(" ")))
+    hits = F.transform("common", lambda c: ((F.length("_padded") - F.length(F.replace(F.col("_padded"), F.concat(F.lit(" "), c, F.lit(" ")), F.lit("")))) / (F.length(c) + 2)).cast("int"))
     counts = _counts(F.col("text"))
     symbols = F.length(F.regexp_replace("text", "[^#*$%&|<>]+", ""))
     df = df.select(
@@ -75,17 +91,17 @@ def features(docs: DataFrame) -> DataFrame:
         repeated.cast("long").alias("n_repeat_words"),
         F.length("text").alias("n_chars"),
         *[v.alias(k) for k, v in counts.items()],
-        F.coalesce(held(hits, "_common"), F.array().cast("array<int>")).alias("hits"),
+        F.coalesce(F.when(F.length("_padded") > 0, hits), F.array().cast("array<int>")).alias("hits"),
     )
     df = df.withColumn("symbol", F.col("n_symbols").cast("int")).withColumn("rest", F.col("n_chars") - F.col("lower") - F.col("upper") - F.col("digit") - F.col("space") - F.col("symbol") - F.col("mark"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return df.withColumn("base_failed", failed)
 
 
-def _distance(counts: Column, total: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon distance (base 2) of counts / total to a reference; null if the total is 0."""
+def _distance(counts: Column, total: Column, reference: Column) -> Column:
+    """Jensen-Shannon distance (base 2) of counts / total to a reference; null if the total is 0 or there is no reference."""
     p = F.transform(counts, lambda x: x / F.nullif(total, F.lit(0)))
-    pairs = F.zip_with(p, F.array(*map(F.lit, reference)), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    pairs = F.zip_with(p, reference, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
 
     def term(a: Column, b: Column) -> Column:
         return F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(F.lit(0.0))
@@ -94,36 +110,30 @@ def _distance(counts: Column, total: Column, reference: list[float]) -> Column:
     return F.sqrt(F.greatest(sums / 2, F.lit(0.0)))
 
 
-def references(rows: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
-    """Per language (at most the listed ones and ``other``): shares of character classes, and of common words with all others last."""
-    width = max(map(len, COMMON.values()))
-    good = rows.where(~F.col("base_failed")).groupBy("lang").agg(*[F.sum(F.col(c).cast("long")).alias(c) for c in [*CLASSES, "n_words"]], *[F.sum(F.coalesce(F.get("hits", F.lit(k)), F.lit(0)).cast("long")).alias(f"w{k}") for k in range(width)])
-    out = {}
-    for r in good.collect():
-        chars = sum(r[c] for c in CLASSES)
-        hits = [r[f"w{k}"] for k in range(len(COMMON.get(r["lang"], [])))]
-        out[r["lang"]] = ([r[c] / max(chars, 1) for c in CLASSES], [h / max(r["n_words"], 1) for h in hits] + [1 - sum(hits) / max(r["n_words"], 1)] if hits else [])
-    return out
+def references(rows: DataFrame) -> DataFrame:
+    """``lang, by_class, by_word``: shares of character classes, and of common words with all others last (null without any)."""
+    sums = [F.sum(F.col(c).cast("long")).alias(c) for c in [*CLASSES, "n_words"]] + [F.sum(F.get("hits", F.lit(k)).cast("long")).alias(f"w{k}") for k in range(COMMON)]
+    good = rows.where(~F.col("base_failed")).groupBy("lang").agg(*sums, F.max(F.size("hits")).alias("_k"))
+    chars, words = F.greatest(sum((F.col(c) for c in CLASSES[1:]), F.col(CLASSES[0])), F.lit(1)), F.greatest("n_words", F.lit(1))
+    shares = F.transform(F.slice(F.array(*[f"w{k}" for k in range(COMMON)]), F.lit(1), F.col("_k")), lambda x: x / words)
+    rest = 1 - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
+    return good.select("lang", F.array(*[F.col(c) / chars for c in CLASSES]).alias("by_class"), F.when(F.col("_k") > 0, F.concat(shares, F.array(rest))).alias("by_word"))
 
 
 def quality_rules(docs: DataFrame, char_limit: float = 0.3, word_limit: float = 0.29, least_chars: int = 200, least_words: int = 60) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance``.
 
     Null texts count as empty (and fail by length); a text whose language is
-    null or unlisted is compared by its characters with the other such texts.
-    Repeated rows and null ids stay; other columns are ignored; an empty table
-    gives an empty result.
+    null or no language's name is compared by its characters with the other
+    such texts.  Repeated rows and null ids stay; other columns are ignored; an
+    empty table gives an empty result.
     """
-    rows = Scratch(docs.sparkSession, "rules").keep(features(docs))
-    chars, words = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for lang, (by_class, by_word) in sorted(references(rows).items()):
-        here = F.col("lang") == lang
-        chars = F.when(here, _distance(F.array(*[F.col(c).cast("double") for c in CLASSES]), F.col("n_chars"), by_class)).otherwise(chars)
-        if by_word:
-            rest = F.col("n_words") - F.aggregate("hits", F.lit(0), lambda a, x: a + x)
-            counted = F.concat(F.transform("hits", lambda x: x.cast("double")), F.array(rest.cast("double")))
-            words = F.when(here, _distance(counted, F.col("n_words"), by_word)).otherwise(words)
-    rows = rows.withColumn("char_distance", chars).withColumn("word_distance", words)
+    rows = Scratch(docs.sparkSession, "rules").keep(features(docs, common_words(docs)))
+    rest = F.col("n_words") - F.aggregate("hits", F.lit(0), lambda a, x: a + x)
+    counted = F.when(F.size("hits") > 0, F.concat(F.transform("hits", lambda x: x.cast("double")), F.array(rest.cast("double"))))
+    by_class = F.array(*[F.col(c).cast("double") for c in CLASSES])
+    rows = rows.join(F.broadcast(references(rows)), "lang", "left")
+    rows = rows.withColumn("char_distance", _distance(by_class, F.col("n_chars"), F.col("by_class"))).withColumn("word_distance", _distance(counted, F.col("n_words"), F.col("by_word")))
     far = ((F.col("n_chars") >= least_chars) & (F.col("char_distance") > char_limit)) | ((F.col("n_words") >= least_words) & (F.col("word_distance") > word_limit))
     kept = ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "char_distance", "word_distance")
@@ -135,8 +145,6 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     """The same rules in DuckDB's SQL, written from the same constants."""
-    lang = " ".join(f"WHEN lower(trim(lang)) LIKE '{k}%' THEN '{k}'" for k in COMMON)
-    lists = " ".join(f"WHEN '{k}' THEN {ws!r}" for k, ws in COMMON.items())
     only = {"lower": "\\p{Ll}", "upper": "\\p{Lu}", "digit": "0-9", "space": _SPACE, "symbol": "#*$%&|<>", "mark": ".,;:!?''\"()\\-"}
     counts = ", ".join(f"length(regexp_replace(text, '[^{c}]+', '', 'g')) AS {k}" for k, c in only.items())
     rest = "n_chars - " + " - ".join(only)
@@ -150,10 +158,15 @@ def _sql() -> str:
 
     return f"""
 WITH d AS (
-  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, CASE {lang} ELSE '{OTHER}' END AS lang FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, CASE WHEN regexp_full_match(lower(trim(lang)), '[a-z]{{2,3}}([-_].*)?') THEN regexp_extract(lower(trim(lang)), '^[a-z]+', 0) ELSE '{OTHER}' END AS lang FROM documents
 ), w AS (
   SELECT *, list_filter(regexp_split_to_array(text, '[{_SPACE}]+'), lambda x: x <> '') AS words,
-    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{_SPACE}]')) AS lines, CASE lang {lists} ELSE [] END AS common FROM d
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{_SPACE}]')) AS lines FROM d
+), cw AS (
+  SELECT lang, list(x ORDER BY k) AS common FROM (
+    SELECT lang, x, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, x) AS k
+    FROM (SELECT lang, lower(unnest(words)) AS x FROM w WHERE lang <> '{OTHER}') WHERE regexp_full_match(x, '\\p{{L}}+') GROUP BY lang, x
+  ) WHERE k <= {COMMON} GROUP BY lang
 ), win AS (
   SELECT rid, u.i AS i, array_to_string(words[u.i : u.i + 7], ' ') AS g FROM w, unnest(range(1, len(words) - 6)) u(i)
 ), dup AS (
@@ -161,10 +174,10 @@ WITH d AS (
 ), cov AS (
   SELECT rid, sum(least({WINDOW}, nxt - i)) AS n FROM (SELECT rid, i, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i), i + {WINDOW}) AS nxt FROM dup) GROUP BY rid
 ), f AS (
-  SELECT w.rid, doc_id, lang, len(words) AS n_words, coalesce(length(array_to_string(words, '')), 0) AS word_chars, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+  SELECT w.rid, doc_id, w.lang, len(words) AS n_words, coalesce(length(array_to_string(words, '')), 0) AS word_chars, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
     coalesce(cov.n, 0) AS n_repeat_words, length(text) AS n_chars, {counts},
-    list_transform(common, lambda c: len(list_filter(words, lambda x: x = c OR x = upper(c[1:1]) || c[2:]))) AS hits
-  FROM w LEFT JOIN cov ON cov.rid = w.rid
+    list_transform(coalesce(common, []), lambda c: len(list_filter(words, lambda x: lower(x) = c))) AS hits
+  FROM w LEFT JOIN cov ON cov.rid = w.rid LEFT JOIN cw ON cw.lang = w.lang
 ), b AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f
 ), rc AS (

@@ -2,6 +2,7 @@ import math
 import random
 import re
 import unicodedata
+from collections import Counter
 
 from larkspur.llm import rules
 
@@ -44,12 +45,29 @@ def classes(t):
     return [out[k] for k in rules.CLASSES]
 
 
+LISTS = {"de": "der die und in den von zu das mit sich des auf für ist im es".split(), "en": "the of and to in a is that for it was on are with as be".split(), "fr": "de la le et les des en un du une que est pour qui dans il".split(), "est": "ja on ei ta see et oli ka".split()}
+
+
+def tag(lang):
+    found = re.fullmatch("([a-z]{2,3})([-_].*)?", (lang or "").strip(" ").lower())
+    return found[1] if found else rules.OTHER
+
+
+def common(data):
+    """The most frequent words of every language, by plain counts."""
+    counts = {}
+    for _, t, lang, *_ in data:
+        if tag(lang) != rules.OTHER:
+            counts.setdefault(tag(lang), Counter()).update(w.lower() for w in WORD.findall(t or "") if w.lower().isalpha())
+    return {k: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: rules.COMMON]] for k, c in counts.items()}
+
+
 def rows():
     rng = random.Random(6)
     out = [(0, None, "en"), (1, "", None), (2, " \n\t", "en"), (3, "one two", "de"), (4, "a b c d e f g h", "en"), (5, "a b c d e f g h " * 2, "en"), (6, "\x1cx\x85 y z \x0b\x0cw\r", "fr"), (7, "line\nline\n\n \nother\nline", "en"), (8, "word " * 30_000, "en")]
     for i in range(9, 160):
-        lang = rng.choice(["en", "de", "fr", "es", "xx", None])
-        words = rules.COMMON.get(lang, ["foo", "bar"]) + ["Lorem", "ipsum", "dolor", "é#b", "x|y", "12", "end."]
+        lang = rng.choice(["en", "de", "fr", "EN-us", "est", "no language", None])
+        words = LISTS.get(tag(lang), ["foo", "bar"]) + ["Lorem", "ipsum", "dolor", "é#b", "x|y", "12", "end."]
         t = [rng.choice(words) for _ in range(rng.randint(1, 200))]
         if i % 5 == 0:
             t = [w.upper() + "!!" for w in t]
@@ -69,13 +87,13 @@ def test_equals_brute_force(spark):
     want = {d: base(t) for d, t, *_ in data}
     for r in got:
         assert tuple(r[n] for n in names) == want[r.doc_id], r.doc_id
-    group = {d: lang if lang in rules.COMMON else "other" for d, _, lang, *_ in data}
+    group, lists = {d: tag(lang) for d, _, lang, *_ in data}, common(data)
     sums, hits, total = {}, {}, {}
     counted = {}
     for k, (d, t, *_) in enumerate(data):
         lang = group[d]
         c = classes(t or "")
-        h = [sum(w in (x, x.capitalize()) for w in WORD.findall(t or "")) for x in rules.COMMON.get(lang, [])]
+        h = [sum(w.lower() == x for w in WORD.findall(t or "")) for x in lists.get(lang, [])]
         counted[d] = (c, h, base(t)[0])
         if not base(t)[5]:
             sums[lang] = [a + b for a, b in zip(sums.get(lang, [0] * 7), c, strict=True)]
@@ -98,6 +116,19 @@ def test_equals_brute_force(spark):
     assert any(not r.kept and not r.base_failed for r in got) and any(r.kept for r in got)
 
 
+def test_languages_are_told_apart_by_their_whole_name(spark):
+    """Estonian is no Spanish, a region changes nothing, and of equally frequent words the first counts."""
+    data = [(1, "b a a", " EST "), (2, "la la de", "es"), (3, "de en", "es-MX"), (4, "x y!", "e"), (5, None, "fr"), (6, "Z z", "frr")]
+    got = {r.lang: r.common for r in rules.common_words(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()}
+    assert got == {"est": ["a", "b"], "es": ["de", "la", "en"], "frr": ["z"]}
+
+
+def test_very_long_text(spark):
+    text = "word other " * 300_000
+    (r,) = rules.quality_rules(spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")).collect()
+    assert (r.n_words, r.word_chars, r.n_repeat_words) == (600_000, 2_700_000, 600_000) and r.base_failed
+
+
 def test_empty_and_plain(spark):
     df = rules.quality_rules(spark.createDataFrame([], SCHEMA))
     assert df.count() == 0

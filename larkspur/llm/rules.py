@@ -27,36 +27,43 @@ OTHER = "other"
 CLASSES = ["lower", "upper", "digit", "space", "symbol", "mark", "rest"]
 WINDOW = 8
 COMMON = 16  # words in a language's histogram, besides all others
+LETTERS = 8  # of a common word at most; longer ones are no function words
 _SPACE = " \\t-\\r"
 
 
-def _counts(text: Column) -> dict[str, Column]:
-    """Characters by class; every character is in one."""
+def _counts(text: Column, other: Column) -> dict[str, Column]:
+    """Characters by class, given the text and what is left of it without lower case letters; every character is in one."""
 
     def only(kept: str) -> Column:
-        return F.length(F.regexp_replace(text, f"[^{kept}]+", ""))
+        return F.length(F.regexp_replace(other, f"[^{kept}]+", ""))
 
-    return {"lower": only("\\p{Ll}"), "upper": only("\\p{Lu}"), "digit": only("0-9"), "space": only(_SPACE), "mark": only(".,;:!?'\"()\\-")}
+    return {"lower": F.length(text) - F.length(other), "upper": only("\\p{Lu}"), "digit": only("0-9"), "space": only(_SPACE), "mark": only(".,;:!?'\"()\\-"), "n_symbols": only("#*$%&|<>")}
+
+
+def _language() -> Column:
+    """The letters that name a row's language, or ``other``."""
+    named = F.regexp_extract(F.lower(F.trim("lang")), "^([a-z]{2,3})([-_].*)?$", 1)
+    return F.when(F.length(named) > 0, named).otherwise(F.lit(OTHER))
 
 
 def _worded(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, lang`` (the language's letters, or ``other``) and ``words`` of every row; null texts have none."""
+    """``doc_id, text, lang`` and ``words`` of every row; null texts have none."""
     spaces = " \t\n\x0b\x0c\r"
-    named = F.regexp_extract(F.lower(F.trim("lang")), "^([a-z]{2,3})([-_].*)?$", 1)
-    df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.when(F.length(named) > 0, named).otherwise(F.lit(OTHER)).alias("lang"))
+    df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _language().alias("lang"))
     trimmed = F.expr(f"trim(BOTH '{''.join(spaces.encode('unicode_escape').decode().replace('x0b', 'u000B').replace('x0c', 'u000C'))}' FROM text)")
     df = df.withColumn("_t", trimmed)
     return df.withColumn("words", F.when(F.col("_t") == "", F.array().cast("array<string>")).otherwise(F.split("_t", f"[{_SPACE}]+")))
 
 
 def common_words(docs: DataFrame) -> DataFrame:
-    """``lang, common``: the ``COMMON`` most frequent words of every language (lower case, letters only; of equals the first), most frequent first.
+    """``lang, common``: the ``COMMON`` most frequent words of every language (lower case, up to ``LETTERS`` letters; of equals the first), most frequent first.
 
     Words are counted where they are read; of a language, the partial ranks keep
     a few rows of every partition for the last one.
     """
-    words = _worded(docs).where(F.col("lang") != OTHER).select("lang", F.explode("words").alias("w")).select("lang", F.lower("w").alias("w"))
-    counts = words.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")).where(F.col("w").rlike("^\\p{L}+$"))
+    word = f"(?<![^{_SPACE}])\\p{{L}}{{1,{LETTERS}}}(?![^{_SPACE}])"
+    found = docs.select(_language().alias("lang"), F.regexp_extract_all(F.lower("text"), F.lit(word), F.lit(0)).alias("ws")).where(F.col("lang") != OTHER)
+    counts = found.select("lang", F.explode("ws").alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))
     top = counts.withColumn("k", rank).where(F.col("k") <= COMMON)
     return top.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "w"))), lambda x: x["w"]).alias("common"))
@@ -64,7 +71,8 @@ def common_words(docs: DataFrame) -> DataFrame:
 
 def features(docs: DataFrame, common: DataFrame) -> DataFrame:
     """Counts of every whole text of ``docs(doc_id, text, lang, ..)``; null texts have no words."""
-    df = _worded(docs).join(F.broadcast(common), "lang", "left")
+    longest = F.array_max(F.transform("common", F.octet_length)) + 2  # lower case may be a little shorter than upper case
+    df = _worded(docs).join(F.broadcast(common.withColumn("_longest", longest)), "lang", "left")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{_SPACE}]"))
     df = df.withColumn("_lines", lines).withColumn("_h", F.transform("words", lambda w: F.xxhash64(w)))
     windows = F.transform(F.sequence(F.lit(1), F.size("_h") - WINDOW + 1), lambda i: F.xxhash64(F.slice("_h", i, WINDOW)))
@@ -76,22 +84,20 @@ def features(docs: DataFrame, common: DataFrame) -> DataFrame:
     df = df.withColumn("_at", F.sort_array(F.transform(twice, lambda e: e["i"])))
     step = "(acc, i) -> named_struct('e', i + {w}, 'n', acc.n + i + {w} - greatest(acc.e, i))".format(w=WINDOW)
     repeated = F.expr(f"coalesce(aggregate(_at, named_struct('e', 0, 'n', 0), {step}, acc -> acc.n), 0)")
-    # Every word between two blanks of its own, so replacing one counts it.
-    df = df.withColumn("_padded", F.concat(F.lit(" "), F.lower(F.array_join("words", "  ")), F.lit(" ")))
-    hits = F.transform("common", lambda c: ((F.length("_padded") - F.length(F.replace(F.col("_padded"), F.concat(F.lit(" "), c, F.lit(" ")), F.lit("")))) / (F.length(c) + 2)).cast("int"))
-    counts = _counts(F.col("text"))
-    symbols = F.length(F.regexp_replace("text", "[^#*$%&|<>]+", ""))
+    df = df.withColumn("_place", F.filter(F.transform("words", lambda w: F.when(F.octet_length(w) <= F.col("_longest"), F.array_position("common", F.lower(w)))), lambda k: k > 0))
+    hits = F.transform(F.sequence(F.lit(1), F.size("common")), lambda k: F.size(F.filter("_place", lambda x: x == k)))
+    df = df.withColumn("_other", F.regexp_replace("text", "\\p{Ll}+", ""))
+    counts = _counts(F.col("text"), F.col("_other"))
     df = df.select(
         "doc_id",
         "lang",
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        symbols.cast("long").alias("n_symbols"),
+        (F.length("text") - counts["space"]).cast("long").alias("word_chars"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         repeated.cast("long").alias("n_repeat_words"),
         F.length("text").alias("n_chars"),
-        *[v.alias(k) for k, v in counts.items()],
-        F.coalesce(F.when(F.length("_padded") > 0, hits), F.array().cast("array<int>")).alias("hits"),
+        *[v.cast("long" if k == "n_symbols" else "int").alias(k) for k, v in counts.items()],
+        F.coalesce(F.when(F.col("common").isNotNull(), held(hits, "_place")), F.array().cast("array<int>")).alias("hits"),
     )
     df = df.withColumn("symbol", F.col("n_symbols").cast("int")).withColumn("rest", F.col("n_chars") - F.col("lower") - F.col("upper") - F.col("digit") - F.col("space") - F.col("symbol") - F.col("mark"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -165,7 +171,7 @@ WITH d AS (
 ), cw AS (
   SELECT lang, list(x ORDER BY k) AS common FROM (
     SELECT lang, x, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, x) AS k
-    FROM (SELECT lang, lower(unnest(words)) AS x FROM w WHERE lang <> '{OTHER}') WHERE regexp_full_match(x, '\\p{{L}}+') GROUP BY lang, x
+    FROM (SELECT lang, lower(unnest(words)) AS x FROM w WHERE lang <> '{OTHER}') WHERE regexp_full_match(x, '\\p{{L}}{{1,{LETTERS}}}') GROUP BY lang, x
   ) WHERE k <= {COMMON} GROUP BY lang
 ), win AS (
   SELECT rid, u.i AS i, array_to_string(words[u.i : u.i + 7], ' ') AS g FROM w, unnest(range(1, len(words) - 6)) u(i)

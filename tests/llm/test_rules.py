@@ -58,7 +58,7 @@ def common(data):
     counts = {}
     for _, t, lang, *_ in data:
         if tag(lang) != rules.OTHER:
-            counts.setdefault(tag(lang), Counter()).update(w.lower() for w in WORD.findall(t or "") if w.lower().isalpha())
+            counts.setdefault(tag(lang), Counter()).update(w.lower() for w in WORD.findall(t or "") if w.lower().isalpha() and len(w) <= rules.LETTERS)
     return {k: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: rules.COMMON]] for k, c in counts.items()}
 
 

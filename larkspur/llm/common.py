@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,17 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
 
 
+_gathering: list[list[Scratch]] = []
+
+
 class Scratch:
     """Intermediate tables of one run, written as Parquet to the shared folder.
 
     A written table cuts the lineage: losing an executor later costs a reread,
-    never the recomputation of earlier iterations.
+    never the recomputation of earlier iterations.  Results read the tables
+    until they are written themselves; ``remove`` deletes them all.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._made = 0
+        if _gathering:
+            _gathering[-1].append(self)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self._made += 1
@@ -49,10 +57,28 @@ class Scratch:
         kept._scratch_path = path
         return kept
 
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, df: DataFrame) -> None:
         """Delete a kept table nothing refers to any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(df._scratch_path)
+
+    def remove(self) -> None:
+        """Delete all tables of the run, once nothing refers to any."""
+        self._delete(self.root)
+
+
+@contextmanager
+def gathered() -> Iterator[list[Scratch]]:
+    """Collects the scratch folders opened inside, so that they can be removed when their results are written."""
+    found: list[Scratch] = []
+    _gathering.append(found)
+    try:
+        yield found
+    finally:
+        _gathering.remove(found)
 
 
 def held(expression: Column, *arrays: str) -> Column:

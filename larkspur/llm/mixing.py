@@ -206,10 +206,14 @@ def fit_rates(members: DataFrame, targets: np.ndarray, rounds: int = 60, toleran
         return total - targets * (total[anchor] / max(targets[anchor], 1e-9))
 
     total, gram = sums(steps)
-    scale, scaled = max(float(targets.sum()), 1.0), True
+    scaled = True
+
+    def scale(total: np.ndarray) -> float:
+        return max(float((targets if sure is None else total).sum()), 1.0)
+
     for _ in range(rounds):
         residual = missed(total)
-        if np.abs(residual).max() <= tolerance * scale or not gram.any():
+        if np.abs(residual).max() <= tolerance * scale(total) or not gram.any():
             break
         new = np.vstack([steps, step_of(residual, gram, scaled)])
         found = sums(new)
@@ -217,7 +221,7 @@ def fit_rates(members: DataFrame, targets: np.ndarray, rounds: int = 60, toleran
             scaled = False  # the bounds change too much for the scaled step
             continue
         steps, (total, gram) = new, found
-    short = float(np.abs(missed(total)).max()) / scale
+    short = float(np.abs(missed(total)).max()) / scale(total)
     if short > tolerance and total.any():
         warnings.warn(f"after {len(steps)} steps the domain totals {total.tolist()} miss their targets by up to {short:.2%} of all", stacklevel=2)
     return steps, total

@@ -1,8 +1,9 @@
+import os
 import random
 
 import corpus_pipeline
 from larkspur.llm import bpe, simhash
-from larkspur.llm.common import read_table
+from larkspur.llm.common import Scratch, read_table
 
 from .test_pii import brute
 from .test_simhash import components_of
@@ -50,3 +51,37 @@ def test_odd_rows(spark):
         docs = spark.createDataFrame(rows, got.schema)
     assert sorted((r.doc_id is None, r.doc_id) for r in docs.collect()) == [(False, 4), (True, None)]
     assert "@" not in "".join(r.decoded for r in docs.collect())
+
+
+def test_repeated_ids_long_texts_and_extra_columns(spark):
+    """Other texts of one id stay beside each other; columns that clash with the operators' own pass through."""
+    rng = random.Random(11)
+    one, two, three = (" ".join(rng.choices([f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(100)], k=n)) for n in (300, 300, 100_000))
+    near = next(t for k in range(1000) if (simhash.fingerprint(t := f"x{k} " + two) ^ simhash.fingerprint(two)).bit_count() in (1, 2))
+    rows = [(1, one, 7), (1, two, 7), (2, near, 7), (3, one, 7), (4, three, 7), (5, None, 7)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1, c, "k") for d, t, c in rows], "doc_id long, text string, lang string, source string, n_chars long, rate int, spans string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, DATA)
+        assert got.columns == docs.columns, name
+        if name == "near_duplicates":
+            assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted([(1, one), (1, two), (4, three)])
+        docs = spark.createDataFrame(got.collect(), docs.schema) if name != "mix" else docs
+    last = corpus_pipeline.encode(spark, docs, DATA).collect()
+    model = bpe.WordBpe(bpe._source(spark, None).value)
+    for r in last:
+        assert list(r.ids) == model.encode([next(d.text for d in docs.collect() if (d.doc_id, d.lang) == (r.doc_id, "en") and model.encode([d.text])[0] == list(r.ids))])[0]
+    assert max(r.n_tokens for r in last) > 100_000
+
+
+def test_run_leaves_one_copy(spark, monkeypatch):
+    roots = []
+    made = Scratch.__init__
+
+    def noted(self, *args):
+        made(self, *args)
+        roots.append(self.root)
+
+    monkeypatch.setattr(Scratch, "__init__", noted)
+    rows = corpus_pipeline.run(spark, DATA).count()
+    left = [f"{r}/{f}" for r in roots if os.path.isdir(r.removeprefix("file://")) for f in os.listdir(r.removeprefix("file://"))]
+    assert rows > 0 and [os.path.basename(f) for f in left if not f.split("/")[-1].startswith(".")] == ["004"]

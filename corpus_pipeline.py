@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import bpe, langid, mixing, pii, simhash
-from larkspur.llm.common import Scratch, read_table
+from larkspur.llm.common import Scratch, gathered, read_table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,9 +59,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the documents of ``sf_dir``."""
+    """The last stage's rows for the documents of ``sf_dir``.
+
+    A stage's own tables go when its result is written, and its input with
+    them, so the shared folder holds little more than one copy of the documents.
+    """
     scratch = Scratch(spark, "pipeline")
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir))
+        with gathered() as used:
+            docs = scratch.keep(stage(spark, docs, sf_dir))
+        for s in used:
+            s.remove()
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

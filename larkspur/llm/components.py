@@ -1,10 +1,11 @@
 """Distributed connected components by repeated contraction.
 
 Every edge points from a larger to a smaller id.  In a round each node adopts
-its smallest neighbour, the resulting forest is flattened by pointer jumping,
-and the edges are rewritten to the roots; loops and repeats vanish.  The
-smallest node of a component has no smaller neighbour, so it is never absorbed
-and ends as the label.  Rounds grow with the logarithm of the longest path.
+its smallest neighbour, the resulting forest is flattened by pointer jumping
+until every node points to a root, and the edges are rewritten to the roots;
+loops and repeats vanish.  A node is absorbed in one round only.  The smallest
+node of a component has no smaller neighbour, so it is never absorbed and ends
+as the label.  Rounds and jumps grow with the logarithm of the longest path.
 
 Only plain joins and map-side combined minima are used, so a hub that a third
 of all edges touch is split by adaptive execution; neither edges nor labels
@@ -20,7 +21,7 @@ from .common import Scratch
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, jumps: int = 2) -> DataFrame:
-    """``(node, component)`` of every node that is not its component's smallest.
+    """``(node, component)`` of every node that is not its component's smallest, once.
 
     ``edges`` has two id columns.  Null ends and loops are ignored; an empty
     table gives an empty result.  A node that is absent from the result is the
@@ -33,10 +34,13 @@ def connected_components(edges: DataFrame, scratch: Scratch, jumps: int = 2) ->
     forests: list[DataFrame] = []
     while not live.isEmpty():
         parent = live.groupBy("hi").agg(F.min("lo").alias("up")).withColumnRenamed("hi", "node")
-        for _ in range(jumps):
-            above = parent.select(F.col("node").alias("up"), F.col("up").alias("upper"))
-            parent = parent.join(above, "up", "left").select("node", F.coalesce("upper", "up").alias("up"))
-        parent = scratch.keep(parent)
+        while True:
+            for _ in range(jumps):
+                above = parent.select(F.col("node").alias("up"), F.col("up").alias("upper"))
+                parent = parent.join(above, "up", "left").select("node", F.coalesce("upper", "up").alias("up"))
+            parent = scratch.keep(parent)
+            if parent.join(parent.select(F.col("node").alias("up")), "up", "left_semi").isEmpty():
+                break
         forests.append(parent)
         to_lo = parent.select(F.col("node").alias("lo"), F.col("up").alias("lo_up"))
         to_hi = parent.select(F.col("node").alias("hi"), F.col("up").alias("hi_up"))

@@ -84,10 +84,16 @@ def test_links_equal_brute_force(spark, bucket):
 
 
 def test_components_of_a_path_and_a_star(spark):
-    edges = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1200)] + [(5000, 5000), (None, 3)]
+    rng = random.Random(6)
+    names = rng.sample(range(-(10**6), 10**6), 400)  # a long path in no order
+    edges = [(i, i + 1) for i in range(2_000_000, 2_000_300)] + [(3_000_000, i) for i in range(3_000_001, 3_000_200)] + [(5, 5), (None, 3)]
+    edges += list(zip(names, names[1:], strict=False)) + [(names[0], names[7])]
     df = spark.createDataFrame(edges, "a long, b long")
-    got = {r.node: r.component for r in connected_components(df, Scratch(spark, "t")).collect()}
-    assert got == {i: 0 for i in range(1, 301)} | {i: 1000 for i in range(1001, 1200)}
+    rows = connected_components(df, Scratch(spark, "t")).collect()
+    got = {r.node: r.component for r in rows}
+    assert len(got) == len(rows)  # every node once
+    least = min(names)
+    assert got == {i: 2_000_000 for i in range(2_000_001, 2_000_301)} | {i: 3_000_000 for i in range(3_000_001, 3_000_200)} | {n: least for n in names if n != least}
     assert connected_components(df.limit(0), Scratch(spark, "t")).count() == 0
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections import deque
+from collections.abc import Callable, Iterator
 from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import ExecError, PlanError, TxnAbort
+from .errors import EngineError, ExecError, PlanError, TxnAbort
 from .functions import sketches
-from .functions.types import FLOAT, INT, of_spark
+from .functions.types import FLOAT, INT, STRING, of_spark
 from .plans import ast
 from .plans.binder import Binder, Options, Scope, calls
 from .plans.parser import parse
@@ -19,21 +21,69 @@ from .sources.locks import LockManager
 
 
 class Result:
-    """Rows of a statement: a DataFrame with the names a user sees, which may repeat."""
+    """Rows of a statement: a DataFrame with the names a user sees, which may repeat.
 
-    def __init__(self, df: DataFrame, names: list[str], types: list[str | None]):
-        self.df, self.names, self.types = df, names, types
+    A forward cursor (``next``, ``read_int``, ``read_float``, ``read_string``)
+    or an iteration holds one partition of the rows at a time; ``rows`` fetches
+    them all, for results known to be small.  A statement that failed, asked
+    for by ``Engine.attempt``, has an ``error`` and no rows.
+    """
+
+    def __init__(self, df: DataFrame | None, names: list[str], types: list[str | None], error: str | None = None):
+        self.df, self.names, self.types, self.error = df, names, types, error
+        self._cursor: Iterator[tuple] | None = None
+        self._row: tuple | None = None
+        self._at = 0
+
+    def valid(self) -> bool:
+        return self.error is None
+
+    def size(self) -> int:
+        return self.df.count() if self.df is not None else 0
 
     def rows(self) -> list[tuple]:
         return [tuple(r) for r in self.df.collect()]
 
+    def __iter__(self) -> Iterator[tuple]:
+        return map(tuple, self.df.toLocalIterator(prefetchPartitions=True)) if self.df is not None else iter(())
+
+    def next(self) -> bool:
+        """Move to the next row; false behind the last."""
+        if self._cursor is None:
+            self._cursor = iter(self)
+        self._row, self._at = next(self._cursor, None), 0
+        return self._row is not None
+
+    def _read(self, kind: str, make: Callable) -> object:
+        if self._row is None:
+            raise ExecError("the cursor is on no row")
+        if self._at >= len(self.names):
+            raise ExecError("the row has no further column")
+        if self.types[self._at] != kind:
+            raise ExecError(f"column {self.names[self._at]!r} is no {kind}")
+        self._at += 1
+        value = self._row[self._at - 1]
+        return None if value is None else make(value)
+
+    def read_int(self) -> int | None:
+        """The row's next column."""
+        return self._read(INT, int)
+
+    def read_float(self) -> float | None:
+        return self._read(FLOAT, float)
+
+    def read_string(self) -> str | None:
+        return self._read(STRING, str)
+
     def show(self, most: int = 50) -> str:
-        """A table of the rows; of more than twice ``most``, the first and last ``most``."""
-        rows = self.rows()
-        cut = [*rows[:most], ("...",) * len(self.names), *rows[-most:]] if len(rows) > 2 * most else rows
+        """A table of the rows; of more than twice ``most``, the first and last ``most``.  Rows between are counted and not kept."""
+        head, tail, n = [], deque(maxlen=most), 0
+        for n, row in enumerate(self, 1):
+            (head if n <= most else tail).append(row)
+        cut = [*head, ("...",) * len(self.names), *tail] if n > 2 * most else [*head, *tail]
         cells = [[str(x) for x in r] for r in [self.names, *cut]]
         width = [max(len(r[i]) for r in cells) for i in range(len(self.names))]
-        return "\n".join(" | ".join(x.ljust(w) for x, w in zip(r, width, strict=True)) for r in cells) + f"\n{len(rows)} rows"
+        return "\n".join(" | ".join(x.ljust(w) for x, w in zip(r, width, strict=True)) for r in cells) + f"\n{n} rows"
 
 
 class Txn:
@@ -168,6 +218,13 @@ class Engine:
             self.commit(own)
         return result
 
+    def attempt(self, sql: str, txn: Txn | None = None) -> Result:
+        """``execute``, with errors of the engine told by the result."""
+        try:
+            return self.execute(sql, txn)
+        except EngineError as e:
+            return Result(None, [], [], str(e))
+
     def frame(self, sql: str) -> DataFrame:
         """A query's lazy DataFrame."""
         return self.execute(sql).df
@@ -286,8 +343,8 @@ class Engine:
         """Ids for zeros: numbered inside partitions, then shifted by the counts of earlier ones."""
         key = f"`{table.auto}`"
         row = F.monotonically_increasing_id()
-        path = f"{self.catalog.root}/segments/numbered-{next(self._numbers)}-{table.next_id}"
-        new.withColumn("_row", row).write.mode("overwrite").parquet(path)
+        path = f"{self.catalog.root}/segments/numbered-{uuid.uuid4().hex}"
+        new.withColumn("_row", row).write.parquet(path)
         held = self.spark.read.parquet(path).withColumn("_part", F.shiftright("_row", 33))
         zero = held.filter(F.col(key) == 0)
         counts = sorted((r["_part"], r["n"]) for r in zero.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
@@ -333,8 +390,8 @@ class Engine:
                 raise PlanError(f"column {name!r} is unknown")
         binder = self._binder(txn)
         # Row numbers must not change between the passes: the numbered rows are stored.
-        numbered = f"{self.catalog.root}/segments/update-{next(self._numbers)}-{txn.number}"
-        self.catalog.read(table).withColumn("_row", F.monotonically_increasing_id()).write.mode("overwrite").parquet(numbered)
+        numbered = f"{self.catalog.root}/segments/update-{uuid.uuid4().hex}"
+        self.catalog.read(table).withColumn("_row", F.monotonically_increasing_id()).write.parquet(numbered)
         base = self.spark.read.parquet(numbered)
         own = binder._named(base, base.columns, [of_spark(f.dataType) for f in base.schema.fields], s.table, None)
         row = own.columns[-1].inner

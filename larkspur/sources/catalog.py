@@ -72,10 +72,17 @@ class Catalog:
 
     def save(self) -> None:
         if self.root:
+            # Written beside and renamed: a reader, or a crash, finds the old file or the new one.
             fs, path = self._path("catalog.json")
-            stream = fs.create(path, True)
+            _, fresh = self._path(f"catalog-{uuid.uuid4().hex}.json")
+            stream = fs.create(fresh, True)
             stream.write(bytearray(json.dumps([asdict(t) for t in self.tables.values()]).encode()))
             stream.close()
+            jvm = self.spark._jvm
+            replace = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+            kinds = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            kinds[0] = replace
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark._jsc.hadoopConfiguration()).rename(fresh, path, kinds)
 
     def write(self, table: TableDef, rows: DataFrame) -> str:
         """Store rows as a segment and give its path."""

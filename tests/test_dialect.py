@@ -38,7 +38,7 @@ def test_rejected_by_the_parser(sql):
     "sql",
     [
         "select sum(sum(a)) from A;", "select count(sum(a) + 1) from A;", "select a from A where 0.0;", "select a from A where 'a';", "select nope from A;", "select b from A, B;", "select A.v from A, B;",
-        "select a from Nope;", "select a + s from A;", "select s < 1 from A;", "select f % 2 from A;", "select f & 1 from A;", "select -s from A;", "select -(a < 1) from A;", "select a and b from A;", "select not a from A;",
+        "select a from Nope;", "select A.a from (A join B on A.a = B.b) t;", "select b from (A join B on A.a = B.b) t;", "select 1 from (A join B on A.a = B.b) t(x);", "select a + s from A;", "select s < 1 from A;", "select f % 2 from A;", "select f & 1 from A;", "select -s from A;", "select -(a < 1) from A;", "select a and b from A;", "select not a from A;",
         "select a from A where sum(a) > 1;", "select a from A group by sum(a);", "select a from A order by sum(a) asc;", "select * from (values (1), (1.5)) t(x);", "select x from A t(x);", "select *;", "select sum(s) from A;",
     ],
 )
@@ -51,6 +51,8 @@ def test_rejected_by_the_binder(engine, sql):
     ("sql", "rows"),
     [
         ("select 1 where 0;", []),
+        ("select t.v, t.f from (A join B on A.a = B.b) t where t.s = 's1';", [(10, 0.5)]),
+        ("select x, z from (B x1 join B y1 on x1.b + 1 = y1.b) as t(x, y, z, w) order by x asc;", [(0, 1), (1, 2)]),
         ("select 114514 group by 1;", [(114514,)]),
         ("select 1 or 1 and 0, 1 and 0 or 1;", [(0, 1)]),
         ("select -9223372036854775808, 9223372036854775807 + 1;", [(-(2**63), -(2**63))]),

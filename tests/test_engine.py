@@ -275,3 +275,35 @@ def test_sketches(spark):
     assert all(bloom.might_contain(2 * i) for i in range(5000)) and sum(bloom.might_contain(20_001 + i) for i in range(2000)) < 60
     found = sketches.analyze(df)
     assert found.rows == 200_000 and (found.columns["k"].low, found.columns["k"].high) == (0, 4999) and abs(found.columns["k"].distinct - 5000) < 400
+
+
+def test_cursor_and_errors(engine):
+    engine.execute("create table cur(a int64 primary key, b varchar(9), c float64);")
+    engine.execute("insert into cur values (1, 'x', 1.5), (2, 'y', 2.5);")
+    r = engine.attempt("select a, b, c from cur order by a asc;")
+    assert r.valid() and r.size() == 2 and r.next()
+    assert (r.read_int(), r.read_string(), r.read_float()) == (1, "x", 1.5)
+    with pytest.raises(ExecError):
+        r.read_int()
+    assert r.next()
+    with pytest.raises(ExecError):
+        r.read_string()
+    assert r.read_int() == 2 and not r.next()
+    with pytest.raises(ExecError):
+        r.read_int()
+    bad = engine.attempt("insert into cur values (1, 'z', 0.5);")
+    assert not bad.valid() and "primary key" in bad.error and list(bad) == [] and bad.size() == 0
+    assert engine.attempt("select nope from cur;").error and engine.attempt("select").error
+    many = engine.execute("select a.a from cur a, (values (1), (2), (3), (4)) b(x);")
+    assert many.show(2).splitlines()[-1] == "8 rows" and many.show(2).count("\n") == 6
+
+
+def test_two_engines_on_one_folder(spark, tmp_path):
+    """Neither overwrites the other's scratch folders; the catalog file is replaced as a whole."""
+    one, two = Engine(spark, str(tmp_path)), Engine(spark, str(tmp_path))
+    one.execute("create table t(k int64 auto_increment primary key, v int64);")
+    two = Engine(spark, str(tmp_path))
+    one.execute("insert into t values (0, 1), (0, 2);")
+    two.execute("insert into t values (0, 3);")
+    assert sorted(one.execute("select * from t;").rows()) == [(1, 1), (2, 2)] and two.execute("select * from t;").rows() == [(1, 3)]
+    assert [p.name for p in tmp_path.glob("catalog*.json")] == ["catalog.json"]

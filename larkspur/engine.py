@@ -118,6 +118,7 @@ class Engine:
         for name, table in txn.tables.items():
             if table is None:
                 self.catalog.tables.pop(name, None)
+                self.stats.pop(name, None)
             else:
                 self.catalog.tables[name] = table
         if txn.tables:
@@ -155,7 +156,7 @@ class Engine:
         return read
 
     def _binder(self, txn: Txn) -> Binder:
-        return Binder(self.spark, self._reader(txn), self.options)
+        return Binder(self.spark, self._reader(txn), self.options, self.stats)
 
     # -- storage ------------------------------------------------------------------
 
@@ -331,7 +332,11 @@ class Engine:
         # Written first: what is checked and counted is what will be read.
         path = self.catalog.write(table, new)
         stored = self.spark.read.schema(table.schema()).parquet(path)
-        self._check(txn, table, stored, self.catalog.read(table) if table.segments else None)
+        try:
+            self._check(txn, table, stored, self.catalog.read(table) if table.segments else None)
+        except EngineError:
+            self.catalog.remove_segment(path.rsplit("/", 1)[-1])
+            raise
         n = stored.count()
         if table.auto and n:
             table.next_id = max(table.next_id, stored.agg(F.max(f"`{table.auto}`")).first()[0] + 1)

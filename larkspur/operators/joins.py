@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,27 +38,16 @@ LAZY_EDGES = 12
 def join_with(left: DataFrame, right: DataFrame, on: Column, strategy: str | None = None, row_bytes: int = 256) -> DataFrame:
     """Inner join by a strategy, or by the planner's choice.
 
-    ``broadcast`` counts the right side first and falls back to the planner
-    where its size is not proven small.
+    ``broadcast`` is asked for if the planner's size of the right side, or else
+    its counted rows, prove it small; otherwise the planner chooses.
     """
     if strategy is None:
         return left.join(right, on, "inner")
-    if strategy == "broadcast" and right.count() * row_bytes > BROADCAST_BYTES:
+    if strategy == "broadcast" and planned_bytes(right) > BROADCAST_BYTES and right.count() * row_bytes > BROADCAST_BYTES:
         return left.join(right, on, "inner")
     return left.join(right.hint(STRATEGIES[strategy]), on, "inner")
 
 
-def measure(frames: list[DataFrame], edges: list[Edge]) -> list[Measured]:
-    """Row counts and approximate distinct join keys; one job for all relations, combined on the map side."""
-    parts, keys = [], []
-    for i, df in enumerate(frames):
-        keys.append(sorted({k for e in edges for j, k in ((e.left, e.left_key), (e.right, e.right_key)) if j == i}))
-        distinct = F.array(*[F.approx_count_distinct(k) for k in keys[i]]).cast("array<long>")
-        parts.append(df.agg(F.lit(i).alias("i"), F.count(F.lit(1)).alias("n"), distinct.alias("d")))
-    rows = sorted(reduce(DataFrame.unionByName, parts).collect(), key=lambda r: r["i"])
-    return [Measured(float(r["n"]), dict(zip(k, map(float, r["d"]), strict=True))) for r, k in zip(rows, keys, strict=True)]
-
-
 def _key_sets(df: DataFrame, keys: list[str], path: str) -> dict[str, DataFrame]:
     """The distinct values of every key, written by one scan and read back as column ``_k``."""
     types = [df.schema[k].dataType for k in keys]
@@ -79,12 +67,14 @@ def planned_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def predicate_transfer(frames: list[DataFrame], edges: list[Edge], order: list[int] | None = None, written: bool | None = None) -> list[DataFrame]:
+def predicate_transfer(frames: list[DataFrame], edges: list[Edge], order: list[int] | None = None, written: bool | None = None, reduced: list[bool] | None = None) -> list[DataFrame]:
     """Reduce every relation by the keys its neighbours still have: a pass forward, a pass back.
 
     Semi-joins are exact, so the join of the results equals the join of the
     inputs and dangling rows never reach it.  ``order`` runs from the most to
-    the least selective relation (default: as given).
+    the least selective relation (default: as given).  ``reduced`` tells which
+    relations have lost rows already, by predicates of their own; only such, and
+    those that lose rows on the way, tell their neighbours (default: all do).
 
     ``written`` key sets come from one scan per sending relation and pass and
     go to the shared folder: a reduced relation is then its scan and one
@@ -93,6 +83,7 @@ def predicate_transfer(frames: list[DataFrame], edges: list[Edge], order: list[i
     The default writes them for more than ``LAZY_EDGES`` edges.
     """
     frames = list(frames)
+    tells = [True] * len(frames) if reduced is None else list(reduced)
     order = list(range(len(frames))) if order is None else order
     ends = [(e.left, e.left_key, e.right, e.right_key) for e in edges if e.left != e.right]
     ends += [(c, d, a, b) for a, b, c, d in ends]
@@ -103,9 +94,10 @@ def predicate_transfer(frames: list[DataFrame], edges: list[Edge], order: list[i
         sent: dict[int, dict[str, DataFrame]] = {}
         for i in turn:
             for source, source_key, target, key in ends:
-                if target == i and place[source] < place[i]:
+                if target == i and place[source] < place[i] and tells[source]:
+                    tells[i] = True
                     frames[i] = frames[i].join(sent[source][source_key], F.col(key) == F.col("_k"), "left_semi")
-            keys = sorted({key for source, key, target, _ in ends if source == i and place[target] > place[i]})
+            keys = sorted({key for source, key, target, _ in ends if source == i and place[target] > place[i]}) if tells[i] else []
             if keys and written:
                 sent[i] = _key_sets(frames[i], keys, f"{root}/{number}-{i}")
             else:

@@ -1,11 +1,12 @@
-"""Join helpers: forced strategies, semi-join reduction over a join graph, statistics for ordering."""
+"""Join helpers: forced strategies, and reduction over a join graph by Bloom filters or semi-joins."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.classic.column import Column as ClassicColumn
 
 from ..sources.catalog import scratch_root
 
@@ -67,20 +68,60 @@ def planned_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def predicate_transfer(frames: list[DataFrame], edges: list[Edge], order: list[int] | None = None, written: bool | None = None, reduced: list[bool] | None = None) -> list[DataFrame]:
+#: Bloom filters have so many bits a key; relations with more rows send exact key sets instead, as a filter is held by every task.
+BITS_A_KEY, BLOOM_ROWS = 20, 3_000_000
+
+
+def _expression(c: Column):
+    return SparkSession.active()._jvm.org.apache.spark.sql.classic.ExpressionUtils.expression(c._jc)
+
+
+def _column(expression) -> Column:
+    return ClassicColumn(SparkSession.active()._jvm.org.apache.spark.sql.classic.ExpressionUtils.column(expression))
+
+
+def bloom_of(key: str, rows: float) -> Column:
+    """Aggregate: the bits of a Bloom filter of a column for about ``rows`` keys, merged on the map side; null without rows."""
+    made = SparkSession.active()._jvm.org.apache.spark.sql.catalyst.expressions.aggregate.BloomFilterAggregate
+    n = max(1, int(rows))
+    sizes = [_expression(F.lit(x).cast("long")) for x in (n, max(64, BITS_A_KEY * n))]
+    return _column(made(_expression(F.xxhash64(key)), *sizes).toAggregateExpression())
+
+
+def may_hold(bits: Column, key: str) -> Column:
+    """Whether a filter may hold a key; null if the filter is (a constant, or a scalar subquery)."""
+    made = SparkSession.active()._jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain
+    return _column(made(_expression(bits), _expression(F.xxhash64(key))))
+
+
+def _told(df: DataFrame, keys: list[str], rows: float, lazy: bool) -> dict[str, Column]:
+    """A Bloom filter of every key: a scalar subquery, or bits from one job over the relation."""
+    if lazy:
+        return {k: df.agg(bloom_of(k, rows).alias("bits")).scalar() for k in keys}
+    found = df.agg(*[bloom_of(k, rows).alias(f"b{n}") for n, k in enumerate(keys)]).first()
+    return {k: F.lit(None).cast("binary") if found[n] is None else F.lit(bytes(found[n])) for n, k in enumerate(keys)}
+
+
+def predicate_transfer(frames: list[DataFrame], edges: list[Edge], order: list[int] | None = None, written: bool | None = None, reduced: list[bool] | None = None, rows: list[float] | None = None) -> list[DataFrame]:
     """Reduce every relation by the keys its neighbours still have: a pass forward, a pass back.
 
-    Semi-joins are exact, so the join of the results equals the join of the
-    inputs and dangling rows never reach it.  ``order`` runs from the most to
-    the least selective relation (default: as given).  ``reduced`` tells which
-    relations have lost rows already, by predicates of their own; only such, and
-    those that lose rows on the way, tell their neighbours (default: all do).
+    No row that joins is lost, so the join of the results equals the join of
+    the inputs.  ``order`` runs from the most to the least selective relation
+    (default: as given).  ``reduced`` tells which relations have lost rows
+    already, by predicates of their own; only such, and those that lose rows on
+    the way, tell their neighbours (default: all do).
+
+    With ``rows``, the estimated sizes, a relation of up to ``BLOOM_ROWS`` tells
+    a Bloom filter of its keys: nothing is shuffled, and the receiver tests it
+    where it scans.  Others (and all without ``rows``, and keys that are not
+    equal exactly if their bits are) tell their distinct keys, and the receiver
+    is reduced by a semi-join.
 
     ``written`` key sets come from one scan per sending relation and pass and
-    go to the shared folder: a reduced relation is then its scan and one
-    semi-join an edge and pass.  Otherwise they are part of the plan; equal
-    exchanges are made once, but the plan grows with the square of the edges.
-    The default writes them for more than ``LAZY_EDGES`` edges.
+    go to the shared folder, filters come back to the driver: a reduced relation
+    is then its scan and one test an edge and pass.  Otherwise they are part of
+    the plan, which grows with the square of the edges.  The default writes
+    them for more than ``LAZY_EDGES`` edges.
     """
     frames = list(frames)
     tells = [True] * len(frames) if reduced is None else list(reduced)
@@ -91,15 +132,19 @@ def predicate_transfer(frames: list[DataFrame], edges: list[Edge], order: list[i
     root = scratch_root(frames[0].sparkSession, "transfer") if written else ""
     for number, turn in enumerate((order, order[::-1])):
         place = {i: p for p, i in enumerate(turn)}
-        sent: dict[int, dict[str, DataFrame]] = {}
+        sent: dict[int, dict[str, DataFrame | Column]] = {}
         for i in turn:
             for source, source_key, target, key in ends:
                 if target == i and place[source] < place[i] and tells[source]:
                     tells[i] = True
-                    frames[i] = frames[i].join(sent[source][source_key], F.col(key) == F.col("_k"), "left_semi")
+                    told = sent[source][source_key]
+                    frames[i] = frames[i].filter(may_hold(told, key)) if isinstance(told, Column) else frames[i].join(told, F.col(key) == F.col("_k"), "left_semi")
             keys = sorted({key for source, key, target, _ in ends if source == i and place[target] > place[i]}) if tells[i] else []
-            if keys and written:
-                sent[i] = _key_sets(frames[i], keys, f"{root}/{number}-{i}")
+            bloom = [k for k in keys if rows is not None and rows[i] <= BLOOM_ROWS and dict(frames[i].dtypes)[k] in ("int", "bigint", "string")]
+            sets = [k for k in keys if k not in bloom]
+            sent[i] = _told(frames[i], bloom, rows[i], not written) if bloom else {}
+            if sets and written:
+                sent[i] |= _key_sets(frames[i], sets, f"{root}/{number}-{i}")
             else:
-                sent[i] = {k: frames[i].select(F.col(k).alias("_k")).distinct() for k in keys}
+                sent[i] |= {k: frames[i].select(F.col(k).alias("_k")).distinct() for k in sets}
     return frames

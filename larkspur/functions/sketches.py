@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil, log2
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,6 +48,22 @@ class CountMin:
         return int(self._sketch.estimateCount(value))
 
 
+def frequencies(df: DataFrame, column: str, values: DataFrame, error: float = 0.001, confidence: float = 0.99) -> DataFrame:
+    """``values(v)`` with ``estimate``: count-min estimates of how often each is in the column, never too low.
+
+    The counters are rows, ``ceil(2 / error)`` of each of ``log2(1 / (1 - confidence))``
+    hashes; they are combined on the map side, and few whatever the input's size.
+    """
+    width, depth = ceil(2 / error), ceil(log2(1 / (1 - confidence)))
+
+    def cells(c: str) -> Column:
+        return F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.pmod(F.xxhash64(c, F.lit(d)), F.lit(width)).alias("h")) for d in range(depth)])).alias("cell")
+
+    counters = df.select(cells(column)).groupBy("cell.d", "cell.h").agg(F.count(F.lit(1)).alias("n"))
+    asked = values.select("v", cells("v")).select("v", "cell.d", "cell.h")
+    return asked.join(counters, ["d", "h"], "left").groupBy("v").agg(F.min(F.coalesce("n", F.lit(0))).alias("estimate"))
+
+
 class Bloom:
     """Bloom filter of a column; never misses a value that is there."""
 

@@ -26,8 +26,11 @@ class Edge:
 
 @dataclass
 class Measured:
+    """Estimated rows, distinct join keys, and the rows before any predicate."""
+
     rows: float
     distinct: dict[str, float]
+    total: float
 
 
 #: A side is broadcast only if its counted rows times a row's width stay below this.
@@ -70,6 +73,8 @@ def planned_bytes(df: DataFrame) -> int:
 
 #: Bloom filters have so many bits a key; relations with more rows send exact key sets instead, as a filter is held by every task.
 BITS_A_KEY, BLOOM_ROWS = 20, 3_000_000
+#: When telling another relation pays, by estimated sizes.
+KEPT, GAIN = 0.95, 2.0
 
 
 def _expression(c: Column):
@@ -84,7 +89,7 @@ def bloom_of(key: str, rows: float) -> Column:
     """Aggregate: the bits of a Bloom filter of a column for about ``rows`` keys, merged on the map side; null without rows."""
     made = SparkSession.active()._jvm.org.apache.spark.sql.catalyst.expressions.aggregate.BloomFilterAggregate
     n = max(1, int(rows))
-    sizes = [_expression(F.lit(x).cast("long")) for x in (n, max(64, BITS_A_KEY * n))]
+    sizes = [_expression(F.lit(x).cast("long")) for x in (n, max(8192, BITS_A_KEY * n))]
     return _column(made(_expression(F.xxhash64(key)), *sizes).toAggregateExpression())
 
 
@@ -102,7 +107,7 @@ def _told(df: DataFrame, keys: list[str], rows: float, lazy: bool) -> dict[str,
     return {k: F.lit(None).cast("binary") if found[n] is None else F.lit(bytes(found[n])) for n, k in enumerate(keys)}
 
 
-def predicate_transfer(frames: list[DataFrame], edges: list[Edge], order: list[int] | None = None, written: bool | None = None, reduced: list[bool] | None = None, rows: list[float] | None = None) -> list[DataFrame]:
+def predicate_transfer(frames: list[DataFrame], edges: list[Edge], order: list[int] | None = None, written: bool | None = None, reduced: list[bool] | None = None, rows: list[float] | None = None, totals: list[float] | None = None) -> list[DataFrame]:
     """Reduce every relation by the keys its neighbours still have: a pass forward, a pass back.
 
     No row that joins is lost, so the join of the results equals the join of
@@ -111,6 +116,11 @@ def predicate_transfer(frames: list[DataFrame], edges: list[Edge], order: list[i
     already, by predicates of their own; only such, and those that lose rows on
     the way, tell their neighbours (default: all do).
 
+    With ``totals`` too, the sizes before predicates, a relation tells another
+    only if that is expected to pay: it keeps less than ``KEPT`` of its rows,
+    and ``GAIN`` times fewer than the other has.  So a large relation is not read
+    once more to reduce small ones.
+
     With ``rows``, the estimated sizes, a relation of up to ``BLOOM_ROWS`` tells
     a Bloom filter of its keys: nothing is shuffled, and the receiver tests it
     where it scans.  Others (and all without ``rows``, and keys that are not
@@ -130,16 +140,25 @@ def predicate_transfer(frames: list[DataFrame], edges: list[Edge], order: list[i
     ends += [(c, d, a, b) for a, b, c, d in ends]
     written = len(edges) > LAZY_EDGES if written is None else written
     root = scratch_root(frames[0].sparkSession, "transfer") if written else ""
+    now = list(rows or [])
+
+    def pays(source: int, target: int) -> bool:
+        return totals is None or now[source] <= KEPT * totals[source] and GAIN * now[source] <= now[target]
+
     for number, turn in enumerate((order, order[::-1])):
         place = {i: p for p, i in enumerate(turn)}
         sent: dict[int, dict[str, DataFrame | Column]] = {}
+        told_by: dict[int, set[int]] = {}  # fixed when a relation's turn comes
         for i in turn:
             for source, source_key, target, key in ends:
-                if target == i and place[source] < place[i] and tells[source]:
+                if target == i and source in told_by and i in told_by[source]:
                     tells[i] = True
+                    if totals is not None:
+                        now[i] *= min(1.0, now[source] / max(totals[source], 1.0))
                     told = sent[source][source_key]
                     frames[i] = frames[i].filter(may_hold(told, key)) if isinstance(told, Column) else frames[i].join(told, F.col(key) == F.col("_k"), "left_semi")
-            keys = sorted({key for source, key, target, _ in ends if source == i and place[target] > place[i]}) if tells[i] else []
+            told_by[i] = {target for source, _, target, _ in ends if source == i and place[target] > place[i] and tells[i] and pays(i, target)}
+            keys = sorted({key for source, key, target, _ in ends if source == i and target in told_by[i]})
             bloom = [k for k in keys if rows is not None and rows[i] <= BLOOM_ROWS and dict(frames[i].dtypes)[k] in ("int", "bigint", "string")]
             sets = [k for k in keys if k not in bloom]
             sent[i] = _told(frames[i], bloom, rows[i], not written) if bloom else {}

@@ -63,6 +63,7 @@ DIALECT: dict[str, tuple[str, str]] = {
     "expr_key_join": ("select a.o_orderkey as x, b.o_orderkey as y from orders a, orders b where a.o_orderkey * 2 = b.o_orderkey - 1;", "SELECT a.o_orderkey AS x, b.o_orderkey AS y FROM orders a, orders b WHERE a.o_orderkey * 2 = b.o_orderkey - 1"),
     "string_key_join": ("select p.p_partkey, q.n as n from part p, (select p_brand as brand, count(*) as n from part group by p_brand) q where p.p_brand = q.brand;", "SELECT p.p_partkey, q.n FROM part p JOIN (SELECT p_brand AS brand, count(*) AS n FROM part GROUP BY p_brand) q ON p.p_brand = q.brand"),
     "int_float_join": ("select o_orderkey, v from orders, (values (1.), (2.5), (7.)) t(v) where o_orderkey = v;", "SELECT o_orderkey, v FROM orders JOIN (VALUES (1.0::DOUBLE), (2.5::DOUBLE), (7.0::DOUBLE)) t(v) ON CAST(o_orderkey AS DOUBLE) = v"),
+    "join_alias": ("select t.x as x, t.region as y from (nation join region on n_regionkey = r_regionkey) t(x, name, k, rk, region) where t.k > 1;", "SELECT CAST(n_nationkey AS BIGINT) AS x, r_name AS y FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey > 1"),
     "self_join": ("select a.n_name as x, b.n_name as y from nation a, nation b where a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey;", "SELECT a.n_name AS x, b.n_name AS y FROM nation a, nation b WHERE a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey"),
     "star_join5": (f"select n_name, count(*) as n, sum(l_linenumber) as s from {_STAR} where {_STAR_ON} group by n_name;", f"SELECT n_name, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS s FROM {_STAR} WHERE {_STAR_ON} GROUP BY n_name"),
     "paren_join": ("select count(*) as n from (orders join customer on o_custkey = c_custkey) join (nation join region on n_regionkey = r_regionkey) on c_nationkey = n_nationkey where r_name < 'B';", "SELECT count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name < 'B'"),
@@ -142,21 +143,44 @@ _T = "SELECT c_custkey AS k, c_mktsegment AS v, CAST(c_nationkey AS BIGINT) AS w
 
 
 def pk_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items that a primary key on (order, line) would reject."""
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return items.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    """Whether inserts keep a primary key: repeated in the new rows, repeating an old one, and neither."""
+    e = engine(spark, sf_dir, stored=True)
+    e.execute("create table t(k int64 primary key, v int64);")
+    tried = {
+        "repeats": "insert into t select l_orderkey, l_linenumber from lineitem;",
+        "fits": "insert into t select o_orderkey, o_custkey from orders;",
+        "meets": "insert into t select max(o_orderkey), 1 from orders;",
+        "beside": "insert into t select max(o_orderkey) + 1, 1 from orders;",
+    }
+    done = [(name, e.attempt(sql).valid()) for name, sql in tried.items()]
+    return spark.createDataFrame([(n, ok, k) for (n, ok) in done for k in [e.execute("select count(*) from t;").rows()[0][0]]], "name string, ok boolean, n long")
 
 
 def fk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events whose user is no customer."""
-    events, customers = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "customer"))
-    return events.join(customers, F.col("user_id") == F.col("c_custkey"), "left_anti").select("event_id", "user_id")
+    """Whether changes keep a foreign key: events of all users, of the customers stored, and deletes of referenced and other customers."""
+    e = engine(spark, sf_dir, stored=True)
+    e.execute("create table c(k int64 primary key);")
+    e.execute("insert into c select c_custkey from customer where c_acctbal > 0;")
+    e.execute("create table ev(id int64, u int64 foreign key references c(k));")
+    tried = {
+        "all": "insert into ev select event_id, user_id from events;",
+        "known": "insert into ev select event_id, user_id from events, c where user_id = k;",
+        "used": "delete from c where 1;",
+        "unused": "delete from c where k < 0;",
+    }
+    done = [(name, e.attempt(sql).valid()) for name, sql in tried.items()]
+    n = e.execute("select count(*) from ev;").rows()[0][0]
+    return spark.createDataFrame([(name, ok, n) for name, ok in done], "name string, ok boolean, n long")
 
 
 def analyze_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sketches.analyze(_orders(spark, sf_dir))
-    rows = [(c, found.rows, s.low, s.high) for c, s in found.columns.items()]
-    return spark.createDataFrame(rows, "name string, n long, lo long, hi long")
+    """Statistics of every column of orders as text; whether the estimate of distinct values is within 10 % of the true number."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    found = sketches.analyze(orders)
+    true = orders.agg(*[F.countDistinct(c).alias(c) for c in found.columns]).first()
+    kinds = dict(orders.dtypes)
+    rows = [(c, found.rows, str(s.low) if kinds[c] in ("bigint", "string") else None, str(s.high) if kinds[c] in ("bigint", "string") else None, abs(s.distinct - true[c]) <= max(1, 0.1 * true[c])) for c, s in found.columns.items()]
+    return spark.createDataFrame(rows, "name string, n long, lo string, hi string, close boolean")
 
 
 def contest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,19 +190,27 @@ def contest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cms_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Estimated orders of the first customers; never below the true number."""
-    sketch = sketches.CountMin(_orders(spark, sf_dir), "o_custkey")
-    return spark.createDataFrame([(i, sketch.estimate(i)) for i in range(1, 51)], "o_custkey long, estimate long")
+    """Orders of every customer, whether the estimate is never below them, and whether it is within the error of all orders."""
+    orders = _orders(spark, sf_dir)
+    true = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    found = sketches.frequencies(orders, "o_custkey", true.select(F.col("o_custkey").alias("v")), error=0.001)
+    all_of = orders.agg(F.count(F.lit(1)).alias("all"))
+    both = true.join(found, F.col("o_custkey") == F.col("v")).join(all_of)
+    return both.select("o_custkey", "n", (F.col("estimate") >= F.col("n")).alias("covers"), (F.col("estimate") <= F.col("n") + 0.01 * F.col("all")).alias("close"))
 
 
 def hll_ndv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(sketches.distinct_sketch(_orders(spark, sf_dir), "o_custkey"),)], "estimate long")
+    """Distinct customers of all orders, and whether the estimate is within 10 % of them."""
+    orders = _orders(spark, sf_dir)
+    true, found = orders.agg(F.countDistinct("o_custkey").alias("n")).first()["n"], sketches.distinct_sketch(orders, "o_custkey")
+    return spark.createDataFrame([(true, abs(found - true) <= 0.1 * true)], "n long, close boolean")
 
 
 def bloom_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    bloom = sketches.Bloom(customers, "c_custkey", customers.count())
-    return spark.createDataFrame([(i, bloom.might_contain(i)) for i in range(1, 101)], "c_custkey long, maybe boolean")
+    """Events of a third of the customers by a semi-join, tested before by a Bloom filter that loses none of them."""
+    events, customers = spark.read.parquet(f"{sf_dir}/events.parquet"), spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_acctbal > 6000")
+    left = joins.predicate_transfer([customers.select("c_custkey"), events.select("event_id", "user_id")], [joins.Edge(0, "c_custkey", 1, "user_id")], [0, 1], rows=[float(customers.count()), 1.0])
+    return left[1].join(left[0], F.col("user_id") == F.col("c_custkey"), "left_semi")
 
 
 FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
@@ -189,14 +221,14 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "insert_select": (_changed("insert into t select k + 1000000, v, w from t where k % 2 = 0;"), f"WITH t AS ({_T}) SELECT * FROM t UNION ALL SELECT k + 1000000, v, w FROM t WHERE k % 2 = 0"),
     "delete_where": (_changed("delete from t where w < 10;"), f"WITH t AS ({_T}) SELECT * FROM t WHERE NOT w < 10"),
     "update_where": (_changed("update t set w = w * 2 + 1, v = 'none' where k % 3 = 0;"), f"WITH t AS ({_T}) SELECT k, CASE WHEN k % 3 = 0 THEN 'none' ELSE v END AS v, CASE WHEN k % 3 = 0 THEN w * 2 + 1 ELSE w END AS w FROM t"),
-    "update_from": (_changed("update t set v = n_name, w = n_regionkey from nation where t.w = n_nationkey and k < 100;"), f"WITH t AS ({_T}) SELECT k, CASE WHEN k < 100 AND n_name IS NOT NULL THEN n_name ELSE v END AS v, CASE WHEN k < 100 AND n_name IS NOT NULL THEN CAST(n_regionkey AS BIGINT) ELSE w END AS w FROM t LEFT JOIN nation ON w = n_nationkey"),
-    "pk_dup_check": (pk_duplicates, "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1"),
-    "fk_violation_check": (fk_violations, "SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)"),
-    "analyze_stats": (analyze_stats, "SELECT 'o_orderkey' AS name, count(*) AS n, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders UNION ALL SELECT 'o_custkey', count(*), min(o_custkey), max(o_custkey) FROM orders"),
+    "update_from": (_changed("update t set v = n_name, w = n_regionkey from nation where t.w = n_nationkey and n_regionkey > 1;"), f"WITH t AS ({_T}) SELECT k, coalesce(n_name, v) AS v, coalesce(CAST(n_regionkey AS BIGINT), w) AS w FROM t LEFT JOIN nation ON w = n_nationkey AND n_regionkey > 1"),
+    "pk_dup_check": (pk_duplicates, "SELECT name, ok, (SELECT CAST(count(*) + 1 AS BIGINT) FROM orders) AS n FROM (SELECT 'repeats' AS name, (SELECT count(*) = count(DISTINCT l_orderkey) FROM lineitem) AS ok UNION ALL SELECT 'fits', (SELECT count(*) = count(DISTINCT o_orderkey) FROM orders) UNION ALL SELECT 'meets', false UNION ALL SELECT 'beside', true)"),
+    "fk_violation_check": (fk_violations, "WITH c AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0), s AS (SELECT count(*) AS every, count(*) FILTER (user_id IN (SELECT k FROM c)) AS known FROM events) SELECT name, ok, CAST(known + CASE WHEN every = known THEN every ELSE 0 END AS BIGINT) AS n FROM (SELECT 'all' AS name, every = known AS ok, s.* FROM s UNION ALL SELECT 'known', true, s.* FROM s UNION ALL SELECT 'used', known = 0, s.* FROM s UNION ALL SELECT 'unused', true, s.* FROM s)"),
+    "analyze_stats": (analyze_stats, "WITH o AS (SELECT count(*) AS n FROM orders) SELECT 'o_orderkey' AS name, n, (SELECT CAST(min(o_orderkey) AS VARCHAR) FROM orders) AS lo, (SELECT CAST(max(o_orderkey) AS VARCHAR) FROM orders) AS hi, true AS close FROM o UNION ALL SELECT 'o_custkey', n, (SELECT CAST(min(o_custkey) AS VARCHAR) FROM orders), (SELECT CAST(max(o_custkey) AS VARCHAR) FROM orders), true FROM o UNION ALL SELECT 'o_orderstatus', n, (SELECT min(o_orderstatus) FROM orders), (SELECT max(o_orderstatus) FROM orders), true FROM o UNION ALL SELECT 'o_orderpriority', n, (SELECT min(o_orderpriority) FROM orders), (SELECT max(o_orderpriority) FROM orders), true FROM o UNION ALL SELECT unnest(['o_totalprice', 'o_orderdate']), n, NULL, NULL, true FROM o"),
     "contest_rank": (contest_rank, "WITH t AS (SELECT o_custkey, CAST(sum(o_orderkey) AS BIGINT) AS s FROM orders GROUP BY 1), r AS (SELECT o_custkey AS id, s, CAST(count(*) OVER (ORDER BY s DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS above FROM t) SELECT * FROM r ORDER BY above, id LIMIT 20"),
-    "cms_freq": (cms_freq, None),
-    "hll_ndv": (hll_ndv, None),
-    "bloom_semi": (bloom_semi, None),
+    "cms_freq": (cms_freq, "SELECT o_custkey, count(*) AS n, true AS covers, true AS close FROM orders GROUP BY o_custkey"),
+    "hll_ndv": (hll_ndv, "SELECT count(DISTINCT o_custkey) AS n, true AS close FROM orders"),
+    "bloom_semi": (bloom_semi, "SELECT event_id, user_id FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 6000)"),
 }
 
 

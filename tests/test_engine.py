@@ -258,6 +258,16 @@ def test_bloom_filters_of_a_tree_and_of_strings(spark):
     assert "LeftSemi" not in left[0]._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_large_relations_do_not_tell_small_ones(spark):
+    """With sizes known, the fact table is filtered where it is scanned and read once."""
+    fact = spark.range(10_000).selectExpr("id % 100 as f1", "id % 1000 as f2")
+    small, other = spark.range(100).selectExpr("id as s").filter("s < 10"), spark.range(1000).selectExpr("id as o")
+    edges = [joins.Edge(0, "f1", 1, "s"), joins.Edge(0, "f2", 2, "o")]
+    left = joins.predicate_transfer([fact, small, other], edges, [1, 2, 0], reduced=[False, True, False], rows=[10_000.0, 10.0, 1000.0], totals=[10_000.0, 100.0, 1000.0])
+    assert left[0].count() == 1000 and left[1] is small and left[2] is other
+    assert left[0]._jdf.queryExecution().optimizedPlan().toString().count("might_contain") == 1
+
+
 def test_filters_of_doubles_are_exact(spark):
     """0.0 and -0.0 join though their bits differ."""
     a, b = spark.createDataFrame([(0.0,), (1.0,)], "x double"), spark.createDataFrame([(-0.0,), (5.0,)], "y double")
@@ -314,6 +324,8 @@ def test_sketches(spark):
     assert abs(sketches.distinct_sketch(df, "k") - 5000) < 250
     cms = sketches.CountMin(df, "k")
     assert all(40 <= cms.estimate(i) <= 40 + 0.002 * 200_000 for i in range(50))
+    every = sketches.frequencies(df, "k", spark.range(6000).withColumnRenamed("id", "v")).collect()
+    assert len(every) == 6000 and all((40 if r.v < 5000 else 0) <= r.estimate <= 40 + 0.002 * 200_000 for r in every)
     bloom = sketches.Bloom(df.selectExpr("k * 2 as k"), "k", 5000)
     assert all(bloom.might_contain(2 * i) for i in range(5000)) and sum(bloom.might_contain(20_001 + i) for i in range(2000)) < 60
     found = sketches.analyze(df)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -9,12 +10,13 @@ from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .errors import EngineError, ExecError, PlanError, TxnAbort
 from .functions import sketches
 from .functions.types import FLOAT, INT, STRING, of_spark
 from .plans import ast
-from .plans.binder import Binder, Options, Scope, calls
+from .plans.binder import Binder, Options, Scope, calls, conjuncts
 from .plans.parser import parse
 from .sources.catalog import HIDDEN_KEY, Catalog, TableDef
 from .sources.locks import LockManager
@@ -87,10 +89,16 @@ class Result:
 
 
 class Txn:
-    """A transaction: its number (older is smaller) and the tables it changed."""
+    """A transaction: its number (older is smaller) and the tables it changed.
+
+    Of a table of which it locked rows only, it keeps their keys and the
+    version it started from: others may commit other rows meanwhile.
+    """
 
     def __init__(self, number: int):
         self.number, self.tables, self.state = number, {}, "active"
+        self.keys: dict[str, set] = {}
+        self.base: dict[str, list[str]] = {}
 
 
 class Engine:
@@ -100,6 +108,7 @@ class Engine:
         self.spark, self.catalog, self.options = spark, Catalog(spark, root), Options()
         self.locks, self._numbers, self.stats = LockManager(), count(1), {}
         self._active: set[int] = set()
+        self._committing = threading.Lock()
 
     def attach(self, name: str, df: DataFrame | Callable[[], DataFrame]) -> Engine:
         """Make a frame readable as a table, or a function that opens one when a statement first names it."""
@@ -115,14 +124,15 @@ class Engine:
 
     def commit(self, txn: Txn) -> None:
         self._ended(txn)
-        for name, table in txn.tables.items():
-            if table is None:
-                self.catalog.tables.pop(name, None)
-                self.stats.pop(name, None)
-            else:
-                self.catalog.tables[name] = table
-        if txn.tables:
-            self.catalog.save()
+        with self._committing:
+            for name, table in txn.tables.items():
+                if table is None:
+                    self.catalog.tables.pop(name, None)
+                    self.stats.pop(name, None)
+                else:
+                    self.catalog.tables[name] = self._rebased(txn, name, table)
+            if txn.tables:
+                self.catalog.save()
         txn.state = "committed"
         self._active.discard(txn.number)
         self.locks.release_all(txn.number)
@@ -138,25 +148,72 @@ class Engine:
         if txn.state != "active":
             raise TxnAbort(f"the transaction is {txn.state}")
 
-    def _table(self, txn: Txn, name: str, mode: str = "S") -> TableDef:
-        self.locks.acquire(txn.number, name, mode)
-        found = txn.tables[name] if name in txn.tables else self.catalog.tables.get(name)
+    def _lock(self, txn: Txn, name: str, mode: str) -> None:
+        held = self.locks.mode(txn.number, name)
+        self.locks.acquire(txn.number, name, "SIX" if {held, mode} == {"S", "IX"} else mode)
+
+    def _table(self, txn: Txn, name: str, mode: str = "S", keys: list | None = None) -> TableDef:
+        """A table as the transaction sees it, locked in a mode; with ``keys`` only those rows are, under an intention on the table."""
+        if keys is None:
+            self._lock(txn, name, mode)
+        else:
+            self._lock(txn, name, "I" + mode)
+            for k in sorted(keys):
+                self.locks.acquire(txn.number, (name, k), mode)
+        found = self.catalog.tables.get(name)
+        if name in txn.tables:
+            found = txn.tables[name] = self._rebased(txn, name, txn.tables[name])
+        elif name in txn.keys:  # a statement on rows failed before it changed any
+            txn.base[name] = list(found.segments)
         if found is None:
             raise PlanError(f"table {name!r} is unknown")
+        if mode == "X" and keys is not None:
+            if name not in txn.tables and name not in txn.keys:
+                txn.keys[name], txn.base[name] = set(), list(found.segments)
+            if name in txn.keys:
+                txn.keys[name].update(keys)
+        elif mode == "X":  # the whole table is the transaction's
+            txn.keys.pop(name, None)
         return found
 
-    def _reader(self, txn: Txn) -> Callable:
+    def _rebased(self, txn: Txn, name: str, table: TableDef | None) -> TableDef | None:
+        """The transaction's rows of a table over what others committed since it took them."""
+        now = self.catalog.tables.get(name)
+        if table is None or name not in txn.keys or now is None or now.segments == txn.base[name]:
+            return table
+        kind = table.types()[table.primary].spark
+        keys = self.spark.createDataFrame([(k,) for k in sorted(txn.keys[name])], T.StructType([T.StructField("_k", kind)]))
+        mine = F.col(f"`{table.primary}`") == F.col("_k")
+        both = self.catalog.read(now).join(keys, mine, "left_anti").unionByName(self.catalog.read(table).join(keys, mine, "left_semi"))
+        made = now.copy()
+        made.segments, txn.base[name] = [self.catalog.write(made, both)], list(now.segments)
+        return made
+
+    def _point(self, name: str, where: ast.Expr | None, alias: str | None = None) -> list | None:
+        """The key that a predicate fixes, if the table has a primary key."""
+        table = self.catalog.tables.get(name)
+        if table is None or table.primary is None:
+            return None
+        for p in conjuncts(where):
+            if isinstance(p, ast.Binary) and p.op == "=":
+                for ref, value in ((p.left, p.right), (p.right, p.left)):
+                    if isinstance(ref, ast.Ref) and isinstance(value, ast.Literal) and ref.name == table.primary and ref.table in (None, alias or name):
+                        if isinstance(value.value, {"INT": int, "FLOAT": (int, float)}.get(table.types()[table.primary].logical, str)):
+                            return [value.value]
+        return None
+
+    def _reader(self, txn: Txn, points: dict[str, list] | None = None) -> Callable:
         def read(name: str):
             if name in self.catalog.attached:
                 if not isinstance(self.catalog.attached[name], DataFrame):
                     self.catalog.attached[name] = self.catalog.attached[name]()
                 return self.catalog.attached[name], frozenset()
-            return self.catalog.read(self._table(txn, name)), frozenset([HIDDEN_KEY])
+            return self.catalog.read(self._table(txn, name, keys=(points or {}).get(name))), frozenset([HIDDEN_KEY])
 
         return read
 
-    def _binder(self, txn: Txn) -> Binder:
-        return Binder(self.spark, self._reader(txn), self.options, self.stats)
+    def _binder(self, txn: Txn, points: dict[str, list] | None = None) -> Binder:
+        return Binder(self.spark, self._reader(txn, points), self.options, self.stats)
 
     # -- storage ------------------------------------------------------------------
 
@@ -246,7 +303,11 @@ class Engine:
 
     def _run(self, s, txn: Txn) -> Result:
         if isinstance(s, ast.Select):
-            return Result(*self._binder(txn).result(s))
+            points = None
+            if len(s.sources) == 1 and isinstance(s.sources[0], ast.Table) and s.sources[0].columns is None:
+                source = s.sources[0]
+                points = {source.name: key} if (key := self._point(source.name, s.where, source.alias)) else None
+            return Result(*self._binder(txn, points).result(s))
         if isinstance(s, ast.IndexStatement):
             return self._counted("indexes", 0)
         if isinstance(s, ast.CreateTable):
@@ -319,7 +380,7 @@ class Engine:
                 raise ExecError(f"{column!r} references no row of {name!r}")
 
     def _insert(self, s: ast.Insert, txn: Txn) -> Result:
-        table = self._table(txn, s.table, "X").copy()
+        table = self._table(txn, s.table, "X", self._new_keys(s)).copy()
         binder = self._binder(txn)
         if isinstance(s.rows, ast.Values):
             df, kinds = binder.rows(s.rows)
@@ -344,6 +405,16 @@ class Engine:
         txn.tables[table.name] = table
         return self._counted("inserted rows", n)
 
+    def _new_keys(self, s: ast.Insert) -> list | None:
+        """The keys of a few given rows."""
+        table = self.catalog.tables.get(s.table)
+        if table is None or table.primary is None or table.auto or not isinstance(s.rows, ast.Values) or len(s.rows.rows) > 100:
+            return None
+        at = [n for n, _, _ in table.columns].index(table.primary)
+        kind = {"INT": int, "FLOAT": (int, float)}.get(table.types()[table.primary].logical, str)
+        keys = [row[at].value for row in s.rows.rows if at < len(row)]
+        return sorted(set(keys)) if keys and all(isinstance(k, kind) for k in keys) else None
+
     def _generate(self, table: TableDef, new: DataFrame) -> DataFrame:
         """Ids for zeros: numbered inside partitions, then shifted by the counts of earlier ones."""
         key = f"`{table.auto}`"
@@ -368,9 +439,10 @@ class Engine:
         return held.filter(F.col(key) != 0).select(*columns).unionByName(made.select(*columns))
 
     def _delete(self, s: ast.Delete, txn: Txn) -> Result:
-        table = self._table(txn, s.table, "X").copy()
+        key = self._point(s.table, s.where)
+        table = self._table(txn, s.table, "X", key).copy()
         rows = self.catalog.read(table)
-        binder = self._binder(txn)
+        binder = self._binder(txn, {s.table: key} if key else None)
         bound = binder.source(ast.Table(s.table))
         gone = F.lit(True) if s.where is None else Scope(bound.columns).value(s.where).truth()
         names = [c.name for c in bound.columns]
@@ -386,7 +458,9 @@ class Engine:
         return self._counted("deleted rows", n)
 
     def _update(self, s: ast.Update, txn: Txn) -> Result:
-        table = self._table(txn, s.table, "X").copy()
+        known = self.catalog.tables.get(s.table)
+        key = self._point(s.table, s.where) if not s.sources and known and known.primary not in [n for n, _ in s.changes] else None
+        table = self._table(txn, s.table, "X", key).copy()
         types = table.types()
         if any(calls(e) for _, e in s.changes) or calls(s.where):
             raise PlanError("update has no aggregates")

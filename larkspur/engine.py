@@ -307,7 +307,10 @@ class Engine:
             if len(s.sources) == 1 and isinstance(s.sources[0], ast.Table) and s.sources[0].columns is None:
                 source = s.sources[0]
                 points = {source.name: key} if (key := self._point(source.name, s.where, source.alias)) else None
-            return Result(*self._binder(txn, points).result(s))
+            result = Result(*self._binder(txn, points).result(s))
+            if self.options.print_plan:
+                print(result.df._jdf.queryExecution().toString())
+            return result
         if isinstance(s, ast.IndexStatement):
             return self._counted("indexes", 0)
         if isinstance(s, ast.CreateTable):

@@ -85,11 +85,12 @@ class Catalog:
             jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark._jsc.hadoopConfiguration()).rename(fresh, path, kinds)
 
     def write(self, table: TableDef, rows: DataFrame) -> str:
-        """Store rows as a segment and give its path."""
+        """Store rows as a segment and give its path; sorted by the primary key inside each file, so ranges of it skip row groups."""
         if not self.root:
             raise PlanError("an engine without a folder cannot store tables")
         path = f"{self.root}/segments/{uuid.uuid4().hex}"
-        rows.select(*[f"`{n}`" for n, _, _ in table.columns]).write.parquet(path)
+        rows = rows.select(*[f"`{n}`" for n, _, _ in table.columns])
+        (rows.sortWithinPartitions(f"`{table.primary}`") if table.primary else rows).write.parquet(path)
         return path
 
     def read(self, table: TableDef) -> DataFrame:

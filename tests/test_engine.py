@@ -362,3 +362,15 @@ def test_two_engines_on_one_folder(spark, tmp_path):
     two.execute("insert into t values (0, 3);")
     assert sorted(one.execute("select * from t;").rows()) == [(1, 1), (2, 2)] and two.execute("select * from t;").rows() == [(1, 3)]
     assert [p.name for p in tmp_path.glob("catalog*.json")] == ["catalog.json"]
+
+
+def test_stored_keys_are_sorted_and_plans_are_printed(engine, capsys):
+    engine.execute("create table srt(k int64 primary key, v int64);")
+    engine.execute("insert into srt values (5, 1), (3, 2), (9, 3), (1, 4);")
+    for f in engine.catalog.read(engine.catalog.tables["srt"]).inputFiles():
+        keys = [r.k for r in engine.spark.read.parquet(f).collect()]
+        assert keys == sorted(keys)
+    engine.options.print_plan = True
+    assert rows(engine, "select v from srt where k > 3 and k <= 9;") == [(1,), (3,)]
+    assert "PushedFilters: [IsNotNull(k), GreaterThan(k,3), LessThanOrEqual(k,9)]" in capsys.readouterr().out
+    engine.options.print_plan = False

@@ -70,8 +70,8 @@ def read_window(text: str) -> list[tuple[str, str]]:
 class _Windows:
     """Cuts one conversation's stream of turns into windows."""
 
-    def __init__(self, budget: int, history: int, count: Callable[[str], int]):
-        self.budget, self.history, self.count = budget, history, count
+    def __init__(self, budget: int, history: int):
+        self.budget, self.history = budget, history
         self.system: tuple[str, str, int] | None = None
         self.recent: list[tuple[str, str, int]] = []
         self.fresh: list[tuple[str, str, int]] = []
@@ -99,8 +99,8 @@ class _Windows:
         self.used = held + (self.system[2] if self.system else 0)
         return out
 
-    def add(self, role: str, body: str) -> Iterator[dict]:
-        turn = (role, body, self.count(body) + TURN_TOKENS)
+    def add(self, role: str, body: str, tokens: int) -> Iterator[dict]:
+        turn = (role, body, tokens + TURN_TOKENS)
         if self.fresh and self.used + turn[2] > self.budget:
             yield self._close()
         # repeated turns give way to a fresh one that would not fit beside them
@@ -125,12 +125,12 @@ def _format(turns: DataFrame, budget: int, history: int, count: Callable[[str],
         now, open_, rows = object(), None, []
         held = 0
         for batch in batches:
-            for conv, role, text in zip(batch["conv"], batch["role"], batch["text"], strict=True):
+            for conv, role, text, tokens in zip(batch["conv"], batch["role"], batch["text"], batch["tokens"], strict=True):
                 if open_ is None or conv != now:
                     if open_:
                         rows += [{"conv": now, **w} for w in open_.end()]
-                    now, open_ = conv, _Windows(budget, history, count)
-                made = [{"conv": now, **w} for w in open_.add(role, text)]
+                    now, open_ = conv, _Windows(budget, history)
+                made = [{"conv": now, **w} for w in open_.add(role, text, int(tokens))]
                 rows += made
                 held += len(text)
                 if held > 4_000_000:
@@ -143,10 +143,15 @@ def _format(turns: DataFrame, budget: int, history: int, count: Callable[[str],
         if open_ and (rows := [{"conv": now, **w} for w in open_.end()]):
             yield pd.DataFrame(rows)
 
-    # Ids travel as text: pandas would turn a nullable long into a double.
+    @F.pandas_udf("long")
+    def counted(texts: pd.Series) -> pd.Series:
+        return pd.Series([count(t) for t in texts], dtype="int64")
+
+    # Ids travel as text: pandas would turn a nullable long into a double.  Tokens are counted
+    # where the rows are read, so the one task of a long conversation only cuts and joins.
     keyed = turns.select(F.col("conv_id").cast("string").alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = keyed.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
-    return ordered.select("conv", "role", "text").mapInPandas(run, WINDOW)
+    ordered = keyed.withColumn("tokens", counted(F.col("text"))).repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
+    return ordered.select("conv", "role", "text", "tokens").mapInPandas(run, WINDOW)
 
 
 def format_chats(turns: DataFrame, budget: int = 1024, history: int = 256, count: Callable[[str], int] = count_tokens) -> DataFrame:

@@ -25,7 +25,7 @@ from .common import Scratch, held, read_table
 
 OTHER = "other"
 CLASSES = ["lower", "upper", "digit", "space", "symbol", "mark", "rest"]
-WINDOW = 8
+WINDOW = 8  # a power of two
 COMMON = 16  # words in a language's histogram, besides all others
 LETTERS = 8  # of a common word at most; longer ones are no function words
 _SPACE = " \\t-\\r"
@@ -75,8 +75,13 @@ def features(docs: DataFrame, common: DataFrame) -> DataFrame:
     df = _worded(docs).join(F.broadcast(common.withColumn("_longest", longest)), "lang", "left")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{_SPACE}]"))
     df = df.withColumn("_lines", lines).withColumn("_h", F.transform("words", lambda w: F.xxhash64(w)))
-    windows = F.transform(F.sequence(F.lit(1), F.size("_h") - WINDOW + 1), lambda i: F.xxhash64(F.slice("_h", i, WINDOW)))
-    df = df.withColumn("_w", F.when(F.size("_h") > WINDOW, windows))
+    # Hashes of 2, 4 and 8 words, each of two halves side by side.
+    df = df.withColumn("_w", F.when(F.size("_h") > WINDOW, F.col("_h")))
+    half = 1
+    while half < WINDOW:
+        left = F.size("_w") - half
+        df = df.withColumn("_w", F.zip_with(F.slice("_w", F.lit(1), left), F.slice("_w", F.lit(half + 1), left), lambda a, b: F.xxhash64(a, b)))
+        half *= 2
     found = F.size(F.array_distinct("_w")) < F.size("_w")
     df = df.withColumn("_s", F.when(found, F.sort_array(F.transform("_w", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
     # Windows equal to a neighbour in hash order, then the length of the union of [i, i + 8).

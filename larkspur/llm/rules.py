@@ -62,8 +62,9 @@ def common_words(docs: DataFrame) -> DataFrame:
     a few rows of every partition for the last one.
     """
     word = f"(?<![^{_SPACE}])\\p{{L}}{{1,{LETTERS}}}(?![^{_SPACE}])"
-    found = docs.select(_language().alias("lang"), F.regexp_extract_all(F.lower("text"), F.lit(word), F.lit(0)).alias("ws")).where(F.col("lang") != OTHER)
-    counts = found.select("lang", F.explode("ws").alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
+    # Exploded where it is found: of a column, the optimizer would search the text once more to leave out empty ones.
+    found = docs.select(_language().alias("lang"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(word), F.lit(0))).alias("w"))
+    counts = found.where(F.col("lang") != OTHER).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))
     top = counts.withColumn("k", rank).where(F.col("k") <= COMMON)
     return top.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "w"))), lambda x: x["w"]).alias("common"))
